@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import charforms, duplicates, leaks, mixture, repetition, splits, tokens
+from . import charforms, duplicates, language, leaks, mixture, reading, repetition, splits, tokens
 
 _QUERIES = (
     splits.p1_found, splits.p1_report,
+    language.p2_found, language.p2_documents, language.p2_segments, language.p2_statistics,
     duplicates.p3_found, duplicates.p3_groups,
     charforms.p4_found, charforms.p4_lines, charforms.p4_documents,
     repetition.p5_found, repetition.p5_shares,
@@ -17,6 +18,7 @@ _QUERIES = (
     mixture.p7_found, mixture.p7_quotas, mixture.p7_shards,
     tokens.p8_found, tokens.p8_fill,
     leaks.p9_found, leaks.p9_report,
+    reading.p10_found, reading.p10_levels, reading.p10_validation,
 )
 
 
