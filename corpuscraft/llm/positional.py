@@ -38,6 +38,7 @@ SKETCH = BINS * len(SEEDS)
 MIN_LISTS = 2
 MIN_BYTES = 78
 BLOCK = 1024
+BROADCAST_IDS = 500_000  # ids of paired texts up to which they are broadcast to the scan
 EXPAND = 256  # copies of one text up to which its pairs are written out one by one
 
 _U = np.uint64
@@ -261,7 +262,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
     ``texts`` has ``id, text``; an id that occurs again has the same letters. Only texts that
     are in a pair leave the scan's exchange.
     """
+    pairs = scratch(pairs, "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # else their texts are found by an exchange
+        wanted = F.broadcast(wanted)
     mine = scratch(texts.where("text is not null").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "paired-texts")
     both = pairs.join(mine.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
