@@ -2,9 +2,490 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import metrics
+from ..functions.text import BYTE_ALPHABET, WHITE_RANGES, byte_level, byte_level_inverse, gpt2_pieces, pieces
+from ..operators import bpe_encode, bpe_train, corpus, resume, shards, wordcount
+from ..session import scratch, shared_dir, table
+from ..sources.shard_files import read_shards, token_dtype, write_shards
+from ..sources.tokenizer_file import special_tokens
+from ..streaming import counts as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+LEAST, MOST = 20, 500  # code points
+TOP = 1000
+MERGES = 12
+LENGTH = 128  # tokens of a sequence
+SHARD = 50_000  # tokens of a shard
+SPECIALS = ("<unk>", "<bos>", "<eos>")
+
+_WS = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WHITE_RANGES)
+#: The pieces of a text, for SQL.
+_PIECES = f"regexp_extract_all(text, '[{_WS}]*[^{_WS}]+|[{_WS}]+')"
+_ALPHABET = "[" + ",".join(f"chr({ord(c)})" for c in BYTE_ALPHABET) + "]"
+
+
+def _mapped(word: str) -> str:
+    """SQL for the byte-level form of a word; the alphabet comes as the CTE ``abc``."""
+    return f"array_to_string([abc[('0x' || substr(hex({word}), 2 * i + 1, 2))::INT + 1] for i in range(strlen({word}))], '')"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents")
+
+
+# --- filters, statistics, limits ----------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, substr(text, 1, {MOST}) AS text, length(text)::BIGINT AS n_chars_before FROM documents WHERE length(text) >= {LEAST}")
+def scan_filter_truncate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder).select("doc_id", "text", F.length("text").cast("bigint").alias("n_chars_before"))
+    return corpus.emitted(docs, LEAST, MOST).select("doc_id", "text", "n_chars_before")
+
+
+def _stats_sql(by: str, source: str, least: int, most: int) -> str:
+    return f"""
+SELECT {by}, count(*) AS docs_scanned, count(*) FILTER (length(text) >= {least}) AS docs_emitted, count(*) FILTER (text IS NULL) AS skipped_missing,
+  count(*) FILTER (length(text) < {least}) AS skipped_short, count(*) FILTER (length(text) > {most}) AS truncated_docs,
+  coalesce(sum(least(length(text), {most})) FILTER (length(text) >= {least}), 0)::BIGINT AS emitted_chars
+FROM {source} GROUP BY {by}"""
+
+
+@query(_stats_sql("lang", "documents", LEAST, MOST))
+def stream_stats_by_lang(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.stream_stats(_docs(spark, folder).select("lang", "text"), "lang", LEAST, MOST)
+
+
+@query(_stats_sql("stat_id", "(SELECT row_id, any_value(stat_id) AS stat_id, min(text) AS text FROM stream_rows GROUP BY row_id)", 20, 1200))
+def stream_stats_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics that distinct stream rows give."""
+    rows = table(spark, folder, "stream_rows").groupBy("row_id").agg(F.first("stat_id").alias("stat_id"), F.min("text").alias("text"))
+    return corpus.stream_stats(rows, "stat_id", 20, 1200)
+
+
+@query("SELECT stat_id, run_id, phase, language, docs_emitted, emitted_chars FROM (SELECT *, row_number() OVER (PARTITION BY stat_id ORDER BY finished_at DESC) AS rn FROM stream_stats) WHERE rn = 1")
+def stream_stats_final(spark: SparkSession, folder: str) -> DataFrame:
+    """Of repeated statistics the finished one."""
+    kept = ["run_id", "phase", "language", "docs_emitted", "emitted_chars"]
+    best = table(spark, folder, "stream_stats").groupBy("stat_id").agg(F.max_by(F.struct(*kept), "finished_at").alias("r"))
+    return best.select("stat_id", "r.*")
+
+
+@query(
+    f"SELECT lang, doc_id, rn::INT AS rn FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents WHERE length(text) >= {LEAST}) WHERE rn <= 50"
+)
+def lang_limit(spark: SparkSession, folder: str) -> DataFrame:
+    kept = _docs(spark, folder).where(F.length("text") >= LEAST).select("lang", "doc_id")
+    return corpus.first_per_group(kept, "lang", "doc_id", 50)
+
+
+@query("SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL AND lang NOT IN ('en', 'de')")
+def lang_except(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.except_values(_docs(spark, folder), "lang", ["en", "de"])
+
+
+_BAD_LINES = ('{"doc_id":-1,"text":5}', '{"doc_id":-2,"text":{"text":"x"}}', '{"doc_id":-3,"text":null}', '{"doc_id":-4,"te', '{"doc_id":-5}', "[1]", "", '{"a":{"text":"no"},"text":"yes \\u00e9 \\ud83d\\ude00"}')
+
+
+@query(
+    "WITH l AS (SELECT to_json({doc_id: doc_id, text: text})::VARCHAR AS line FROM documents UNION ALL SELECT unnest(["
+    + ",".join("'" + x + "'" for x in _BAD_LINES)
+    + "])), t AS (SELECT CASE WHEN json_valid(line) THEN CASE WHEN json_type(line, '$.text') = 'VARCHAR' THEN json_extract_string(line, '$.text') END END AS text FROM l)\nSELECT text, count(*) AS n FROM t WHERE text IS NOT NULL GROUP BY text"
+)
+def json_extract_guard(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _docs(spark, folder).select(F.to_json(F.struct("doc_id", "text")).alias("line")).union(spark.createDataFrame([(x,) for x in _BAD_LINES], "line string"))
+    return lines.select(corpus.json_text(F.col("line")).alias("text")).where("text is not null").groupBy("text").agg(F.count("*").alias("n"))
+
+
+# --- pre-tokenizers and the byte alphabet ---------------------------------------------------------
+
+
+@query(f"SELECT doc_id, len({_PIECES})::BIGINT AS n_pieces FROM documents WHERE text IS NOT NULL")
+def pretokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _docs(spark, folder).where("text is not null").select("doc_id", F.size(pieces(F.col("text"))).cast("bigint").alias("n_pieces"))
+
+
+@query()
+def pretokenize_gpt2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _docs(spark, folder).where("text is not null").select("doc_id", F.size(gpt2_pieces(F.col("text"))).cast("bigint").alias("n_pieces"))
+
+
+_WORDS_SQL = f"c AS (SELECT raw, count(*) AS freq FROM (SELECT unnest({_PIECES}) AS raw FROM documents WHERE text IS NOT NULL) GROUP BY raw)"
+
+
+@query(f"WITH {_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc) SELECT raw, {_mapped('raw')} AS word FROM c, a")
+def byte_level_words(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.words(_docs(spark, folder)).distinct().select(F.col("word").alias("raw"), byte_level(F.col("word")).alias("word"))
+
+
+@query("SELECT count(*) AS docs, 0::BIGINT AS mismatches FROM documents WHERE text IS NOT NULL")
+def byte_level_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    back = byte_level_inverse(byte_level(F.col("text")))
+    return _docs(spark, folder).where("text is not null").agg(F.count("*").alias("docs"), F.count_if(back != F.col("text")).alias("mismatches"))
+
+
+# --- counting --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc), m AS (SELECT {_mapped('raw')} AS word, freq FROM c, a) SELECT word, freq FROM m ORDER BY freq DESC, word LIMIT {TOP}")
+def word_count_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.top_words(_docs(spark, folder), TOP)
+
+
+@query(f"""
+WITH p AS (SELECT lang, unnest({_PIECES}) AS raw FROM documents WHERE text IS NOT NULL),
+g AS (SELECT lang, raw, count(*) AS freq, grouping(lang)::INT AS total FROM p GROUP BY GROUPING SETS ((lang, raw), (raw)) HAVING count(*) >= 50),
+a AS (SELECT {_ALPHABET} AS abc)
+SELECT lang, {_mapped('raw')} AS word, freq, total FROM g, a""")
+def word_count_lang_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.rollup_counts(_docs(spark, folder), "lang", 50)
+
+
+@query(f"""
+WITH p AS (SELECT doc_id // 100 AS chunk, unnest({_PIECES}) AS raw FROM documents WHERE text IS NOT NULL),
+c AS (SELECT chunk, raw, count(*) AS n FROM p GROUP BY ALL), a AS (SELECT {_ALPHABET} AS abc),
+m AS (SELECT chunk, {_mapped('raw')} AS word, n FROM c, a),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY n DESC, word) AS rn FROM m)
+SELECT word, sum(n)::BIGINT AS freq, count(*) AS chunks FROM r WHERE rn <= 200 GROUP BY word""")
+def word_count_lossy(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.lossy_counts(_docs(spark, folder), F.expr("doc_id div 100"), 200)
+
+
+@query(f"WITH {_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc) SELECT {_mapped('raw')} AS word, freq, strlen(raw)::BIGINT AS n_symbols FROM c, a WHERE freq >= 5")
+def word_min_freq_symbols(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.word_counts(_docs(spark, folder), least=5).withColumn("n_symbols", F.length("word").cast("bigint"))
+
+
+@query(f"""
+WITH {_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc), m AS (SELECT {_mapped('raw')} AS word, freq FROM c, a),
+p AS (SELECT unnest([substr(word, i, 2) for i in range(1, length(word))]) AS pair, freq FROM m)
+SELECT pair[1] AS "left", pair[2] AS "right", sum(freq)::BIGINT AS freq FROM p GROUP BY ALL ORDER BY freq DESC, 1, 2 LIMIT 200""")
+def pair_counts_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.pair_counts(wordcount.word_counts(_docs(spark, folder))).orderBy(F.desc("freq"), "left", "right").limit(200)
+
+
+# --- BPE -------------------------------------------------------------------------------------------
+
+
+def _training_sql(merges: int) -> str:
+    """Unrolled CTEs: w<k> are the words after k merges, m<k> the k-th merge. Symbols stand between chr(2) and chr(3)."""
+    steps = [
+        f"{_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc), "
+        f"w0 AS MATERIALIZED (SELECT chr(2) || array_to_string([abc[('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 1] for i in range(strlen(raw))], chr(3) || chr(2)) || chr(3) AS s, freq FROM c, a WHERE freq >= 2)"
+    ]
+    for k in range(merges):
+        steps.append(
+            f"p{k} AS (SELECT string_split(trim(s, chr(2) || chr(3)), chr(3) || chr(2)) AS v, freq FROM w{k}), "
+            f"q{k} AS (SELECT unnest([{{'l': v[i], 'r': v[i + 1]}} for i in range(1, len(v))]) AS pr, freq FROM p{k}), "
+            f"m{k} AS MATERIALIZED (SELECT {k} AS k, pr.l AS l, pr.r AS r, sum(freq)::BIGINT AS n FROM q{k} GROUP BY ALL ORDER BY n DESC, l, r LIMIT 1), "
+            f"w{k + 1} AS MATERIALIZED (SELECT replace(s, chr(2) || l || chr(3) || chr(2) || r || chr(3), chr(2) || l || r || chr(3)) AS s, freq FROM w{k}, m{k})"
+        )
+    return "WITH " + ",\n".join(steps) + ",\nm AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(merges)) + ")\n"
+
+
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.words(_docs(spark, folder)).groupBy("word").agg(F.count("*").alias("freq")).where("freq >= 2").select(F.col("word").alias("raw"), "freq")
+
+
+@query(_training_sql(MERGES) + 'SELECT k::INT AS merge_rank, l AS "left", r AS "right", n AS freq FROM m')
+def bpe_train_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The first merges, one distributed aggregation each."""
+    found = bpe_train.train_relational(scratch(_counted(spark, folder), "words"), MERGES, 2)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "merge_rank int, left string, right string, freq bigint")
+
+
+@query(
+    _training_sql(MERGES)
+    + f", t AS (SELECT unnest({list(SPECIALS)}) AS token, generate_subscripts({list(SPECIALS)}, 1) AS ord UNION ALL SELECT unnest(abc), 1000 + generate_subscripts(abc, 1) FROM a UNION ALL SELECT l || r, 10000 + k FROM m)\n"
+    + "SELECT (row_number() OVER (ORDER BY min(ord)) - 1)::INT AS token_id, token FROM t GROUP BY token"
+)
+def vocab_assembly(spark: SparkSession, folder: str) -> DataFrame:
+    merges = [(r.left, r.right) for r in bpe_train_k(spark, folder).orderBy("merge_rank").collect()]
+    return spark.createDataFrame(list(enumerate(bpe_train.assembled_vocabulary(merges, special_tokens(",".join(SPECIALS))))), "token_id int, token string")
+
+
+@query()
+def bpe_train_driver(spark: SparkSession, folder: str) -> DataFrame:
+    """2,000 merges by the driver loop over words that occur 5 times or more, after a distributed count."""
+    counted = wordcount.word_counts(_docs(spark, folder), least=5).orderBy(F.desc("freq"), "word").limit(200_000)
+    found = bpe_train.train_on_driver([(r.word, r.freq) for r in counted.collect()], 2000, 2)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "merge_rank int, left string, right string, freq bigint")
+
+
+def _encoded_sql() -> str:
+    """Symbols ``v`` of each distinct piece under the first merges of the table ``merges``, one replacement each."""
+    steps = [
+        f"{_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc), g AS (SELECT list(left_token ORDER BY merge_rank) AS l, list(right_token ORDER BY merge_rank) AS r FROM merges WHERE merge_rank < {MERGES}), "
+        "e0 AS (SELECT raw, chr(2) || array_to_string([abc[('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 1] for i in range(strlen(raw))], chr(3) || chr(2)) || chr(3) AS s FROM c, a)"
+    ]
+    for k in range(1, MERGES + 1):
+        steps.append(f"e{k} AS (SELECT raw, replace(s, chr(2) || l[{k}] || chr(3) || chr(2) || r[{k}] || chr(3), chr(2) || l[{k}] || r[{k}] || chr(3)) AS s FROM e{k - 1}, g)")
+    return "WITH " + ",\n".join(steps) + f",\nsymbols AS (SELECT raw, string_split(trim(s, chr(2) || chr(3)), chr(3) || chr(2)) AS v FROM e{MERGES}),\nsplit AS (SELECT doc_id, {_PIECES} AS found FROM documents WHERE text IS NOT NULL),\nplaced AS (SELECT doc_id, unnest(found) AS raw, generate_subscripts(found, 1) AS pos FROM split)\n"
+
+
+@query(_encoded_sql() + "SELECT d.doc_id, coalesce(sum(len(v)), 0)::BIGINT AS n_tokens FROM split d LEFT JOIN placed p USING (doc_id) LEFT JOIN symbols s ON p.raw = s.raw GROUP BY d.doc_id")
+def bpe_encode_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts with a short merge list, all in the JVM: distinct pieces, one replacement a merge, joined back."""
+    merges = [(r.left_token, r.right_token) for r in table(spark, folder, "merges").where(F.col("merge_rank") < MERGES).orderBy("merge_rank").collect()]
+    docs = _docs(spark, folder).where("text is not null").select("doc_id", "text")
+    per = docs.select("doc_id", F.explode(pieces(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("k"))
+    sizes = bpe_encode.merged_natively(per.select("word").distinct(), merges).select("word", bpe_encode.n_symbols(F.col("symbols")).alias("n"))
+    by = per.join(sizes, "word").groupBy("doc_id").agg(F.sum(F.col("k") * F.col("n")).alias("n_tokens"))
+    return docs.select("doc_id").join(by, "doc_id", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
+
+
+@query(
+    _encoded_sql()
+    + "SELECT d.doc_id, array_to_string(list_concat(list_concat([1], coalesce(flatten(list([t.token_id for t in ids] ORDER BY pos) FILTER (ids IS NOT NULL)), [])), [2]), ' ') AS ids\n"
+    "FROM split d LEFT JOIN placed p USING (doc_id) LEFT JOIN (SELECT raw, list({token_id: token_id} ORDER BY i) AS ids FROM (SELECT raw, unnest(v) AS token, generate_subscripts(v, 1) AS i FROM symbols) JOIN vocab USING (token) GROUP BY raw) s ON p.raw = s.raw GROUP BY d.doc_id"
+)
+def bpe_encode_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids with bos and eos by the encoder over distinct pieces, under the same short merge list."""
+    model = bpe_encode.load_model(table(spark, folder, "vocab"), table(spark, folder, "merges"), MERGES)
+    return bpe_encode.encode_documents(_docs(spark, folder), model, 1, 2).select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+def _model(spark: SparkSession, folder: str) -> bpe_encode.Model:
+    return bpe_encode.load_model(table(spark, folder, "vocab"), table(spark, folder, "merges"))
+
+
+@query()
+def encode_udf_full_vocab(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_encode.count_documents(_docs(spark, folder), _model(spark, folder))
+
+
+@query("SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
+def decode_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents encoded with the whole vocabulary and decoded again."""
+    return bpe_encode.decode(bpe_encode.encode_documents(_docs(spark, folder), _model(spark, folder)), table(spark, folder, "vocab"))
+
+
+# --- token stream -----------------------------------------------------------------------------------
+
+# The stream's tokens are pieces, and a token's id is its length, so that SQL can follow.
+_SIZES_SQL = f"n AS (SELECT doc_id, len({_PIECES})::BIGINT AS n FROM documents WHERE text IS NOT NULL), o AS (SELECT doc_id, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY doc_id))::BIGINT AS stop FROM n)"
+_PARTS_SQL = f"{_SIZES_SQL}, k AS (SELECT *, unnest(range(start // {SHARD}, (stop - 1) // {SHARD} + 1)) AS shard_id FROM o WHERE stop > start), s AS (SELECT shard_id::BIGINT AS shard_id, printf('train_%06d.bin', shard_id) AS file, sum(least(stop, (shard_id + 1) * {SHARD}) - greatest(start, shard_id * {SHARD}))::BIGINT AS num_tokens, count(*) AS docs FROM k GROUP BY shard_id)"
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return pretokenize_counts(spark, folder).withColumnRenamed("n_pieces", "n")
+
+
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.offsets(scratch(_sizes(spark, folder), "sizes"))
+
+
+def _shards(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.manifest(shards.shard_parts(_placed(spark, folder), SHARD))
+
+
+@query(f"WITH {_SIZES_SQL} SELECT * FROM o")
+def doc_token_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    return _placed(spark, folder).select("doc_id", "start", "stop")
+
+
+@query(f"WITH {_PARTS_SQL} SELECT * FROM s")
+def shard_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return _shards(spark, folder)
+
+
+@query(f"""WITH {_PARTS_SQL} SELECT *, CASE WHEN row_number() OVER (ORDER BY shard_id) > count(*) OVER () - CASE WHEN count(*) OVER () < 2 THEN 0 ELSE greatest(1, least(count(*) OVER () - 1, floor(count(*) OVER () * 0.1))) END
+THEN 'val' ELSE 'train' END AS part, num_tokens - {LENGTH} - 1 > 0 AS usable FROM s""")
+def shard_split(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.split_shards(_shards(spark, folder), 0.1, LENGTH)
+
+
+@query(f"""WITH {_PARTS_SQL}, u AS (SELECT shard_id, num_tokens - {LENGTH} - 1 AS m, count(*) OVER () AS n, row_number() OVER (ORDER BY shard_id) AS rn FROM s WHERE num_tokens - {LENGTH} - 1 > 0)
+SELECT shard_id, round(m / sum(m) OVER (), 6)::DOUBLE AS weight, (64 // n + CASE WHEN rn <= 64 % n THEN 1 ELSE 0 END)::BIGINT AS picks FROM u""")
+def batch_allocation(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.allocate(_shards(spark, folder), LENGTH, 64).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def shard_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeded weighted sampling of shards without replacement; the limit is the size of the sample."""
+    return shards.weighted_sample(shards.allocate(_shards(spark, folder), LENGTH, 64), "weight", 4, 42)
+
+
+def _tokens(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    placed = scratch(_placed(spark, folder), "placed")
+    docs = _docs(spark, folder).where("text is not null").select("doc_id", F.transform(pieces(F.col("text")), lambda p: F.length(p).cast("bigint")).alias("ids"))
+    tokens = docs.join(placed, "doc_id").select("start", F.posexplode("ids").alias("at", "id")).select((F.col("start") + F.col("at")).alias("pos"), "id")
+    return tokens, placed.agg(F.max("stop")).first()[0] or 0
+
+
+def _sums(packed: DataFrame) -> DataFrame:
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return packed.select("seq_id", F.element_at("x", 1).alias("first"), total("x").alias("sum_x"), total("y").alias("sum_y"))
+
+
+def _windows_sql(stride: int) -> str:
+    return f"""
+WITH t AS (SELECT doc_id, unnest([length(p)::BIGINT for p in {_PIECES}]) AS id, unnest(range(len({_PIECES}))) AS k FROM documents WHERE text IS NOT NULL),
+p AS (SELECT (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS pos, id FROM t), n AS (SELECT count(*) AS total FROM p),
+q AS (SELECT unnest(range(0, CASE WHEN total > {LENGTH} THEN (total - {LENGTH + 1}) // {stride} + 1 ELSE 0 END)) AS seq_id FROM n)
+SELECT seq_id::BIGINT AS seq_id, max(id) FILTER (pos = seq_id * {stride}) AS "first", (sum(id) FILTER (pos < seq_id * {stride} + {LENGTH}))::BIGINT AS sum_x, (sum(id) FILTER (pos > seq_id * {stride}))::BIGINT AS sum_y
+FROM q JOIN p ON pos BETWEEN seq_id * {stride} AND seq_id * {stride} + {LENGTH} GROUP BY seq_id"""
+
+
+@query(_windows_sql(LENGTH))
+def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    tokens, total = _tokens(spark, folder)
+    return _sums(shards.windows(tokens, LENGTH, LENGTH, total))
+
+
+@query(_windows_sql(LENGTH + 1))
+def pack_stride_l1(spark: SparkSession, folder: str) -> DataFrame:
+    tokens, total = _tokens(spark, folder)
+    return _sums(shards.windows(tokens, LENGTH, LENGTH + 1, total))
+
+
+@query()
+def shuffle_deterministic(spark: SparkSession, folder: str) -> DataFrame:
+    """Two epochs in their seeded orders."""
+    docs = _docs(spark, folder).select("doc_id")
+    return shards.shuffled(docs.withColumn("epoch", F.lit(0)), "doc_id", 42, 0).union(shards.shuffled(docs.withColumn("epoch", F.lit(1)), "doc_id", 42, 1))
+
+
+@query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 4)::BIGINT AS rank FROM documents")
+def rank_shard(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus.ordinal(_docs(spark, folder).select("doc_id"), "doc_id", "row").select("doc_id", shards.rank_of(F.col("row"), 4).alias("rank"))
+
+
+@query("SELECT source_path, ((row_number() OVER (ORDER BY source_path) - 1) // 8)::BIGINT AS chunk_id, lines FROM (SELECT source_path, count(*) AS lines FROM corpus_lines GROUP BY source_path)")
+def file_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in chunks of eight, in path order; paths are few beside their lines."""
+    files = table(spark, folder, "corpus_lines").groupBy("source_path").agg(F.count("*").alias("lines"))
+    row = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("source_path")) - 1
+    return files.withColumn("chunk_id", F.floor(row / 8)).select("source_path", "chunk_id", "lines")
+
+
+# --- resume and checks --------------------------------------------------------------------------------
+
+
+@query("""
+WITH f AS (SELECT source_path, concat_ws('|', source_path, count(*), max(line_id)) AS signature FROM corpus_lines GROUP BY source_path),
+p AS (SELECT source_path, concat_ws('|', source_path, count(*), max(line_id)) AS stored FROM corpus_lines WHERE text IS NOT NULL AND source_path NOT LIKE '%1.json' GROUP BY source_path)
+SELECT f.source_path, CASE WHEN stored IS NULL THEN 'new' WHEN stored = signature THEN 'reuse' ELSE 'redo' END AS action FROM f LEFT JOIN p ON f.source_path = p.source_path""")
+def part_reuse_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """Files against the parts of an earlier run, which saw no null lines and no files that end in 1."""
+    lines = table(spark, folder, "corpus_lines")
+    signed = lambda df: df.groupBy("source_path").agg(F.count("*").alias("size"), F.max("line_id").alias("stamp")).select("source_path", resume.signature("source_path", "size", "stamp").alias("signature"))
+    return resume.reuse_plan(signed(lines), signed(lines.where("text is not null and source_path not like '%1.json'")))
+
+
+@query(f"WITH {_PARTS_SQL} SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM n) AS part_tokens, (SELECT coalesce(sum(num_tokens), 0)::BIGINT FROM s) AS shard_tokens, (SELECT sum(n) FROM n) = (SELECT sum(num_tokens) FROM s) AS agree")
+def token_reconcile(spark: SparkSession, folder: str) -> DataFrame:
+    return resume.reconciled(_sizes(spark, folder), _shards(spark, folder))
+
+
+@query()
+def bin_shard_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Token shards written as files and read again, with their sums."""
+    model = _model(spark, folder)
+    coded = scratch(bpe_encode.encode_documents(_docs(spark, folder), model, 1, 2).withColumn("n", F.size("ids").cast("bigint")), "coded")
+    parts = shards.shard_parts(shards.offsets(coded.select("doc_id", "n")), SHARD)
+    starts = shards.offsets(coded.select("doc_id", "n")).select("doc_id", "start")
+    cut = parts.join(starts, "doc_id").join(coded, "doc_id").select("shard_id", "begin", F.slice("ids", (F.col("begin") - F.col("start") + 1).cast("int"), F.col("size").cast("int")).alias("ids"))
+    out = f"{urlparse(shared_dir(spark)).path}/shards-{os.urandom(8).hex()}"  # raw files need a mounted folder
+    written = write_shards(cut, out, token_dtype(len(model[0]))).agg(F.sum("num_tokens")).first()[0]
+    back = read_shards(spark, f"file://{out}", token_dtype(len(model[0]))).select("file", F.size("tokens").cast("bigint").alias("num_tokens"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("id_sum"))
+    return back.withColumn("all_written", F.lit(written))
+
+
+# --- formulas -------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT i AS iter, round(CASE WHEN i < 2000 THEN 6e-4 * (i + 1) / 2000.0 WHEN i > 18000 THEN 6e-5 ELSE 6e-5 + 0.5 * (1 + cos(pi() * (i - 2000) / 16000.0)) * (6e-4 - 6e-5) END, 10)::DOUBLE AS lr
+FROM range(0, 20001, 100) t(i)""")
+def lr_schedule(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.range(0, 20001, 100).select(F.col("id").alias("iter"), F.round(metrics.learning_rate(F.col("id"), 6e-4, 6e-5, 2000, 18000), 10).alias("lr"))
+
+
+@query("""
+WITH e AS (SELECT event_type AS checkpoint, value / 50 AS loss, user_id % 16 + 1 AS n FROM events WHERE value IS NOT NULL)
+SELECT checkpoint, round(sum(loss * n) / greatest(sum(n), 1), 6)::DOUBLE AS val_loss, sum(n)::BIGINT AS eval_rows, round(avg(loss), 6)::DOUBLE AS plain_loss, round(exp(least(sum(loss * n) / greatest(sum(n), 1), 30)), 4)::DOUBLE AS ppl FROM e GROUP BY checkpoint""")
+def weighted_eval_loss(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").where("value is not null").select(F.col("event_type").alias("checkpoint"), (F.col("value") / 50).alias("loss"), (F.col("user_id") % 16 + 1).alias("n"))
+    out = metrics.weighted_loss(rows, "checkpoint", "loss", "n")
+    return out.select("checkpoint", F.round("val_loss", 6).alias("val_loss"), "eval_rows", F.round("plain_loss", 6).alias("plain_loss"), F.round("ppl", 4).alias("ppl"))
+
+
+@query("""
+WITH e AS (SELECT event_type AS checkpoint, value / 50 AS loss, user_id % 16 + 1 AS n FROM events WHERE value IS NOT NULL)
+SELECT checkpoint, round(sum(loss * n) / greatest(sum(n), 1), 6)::DOUBLE AS val_loss FROM e GROUP BY checkpoint ORDER BY sum(loss * n) / greatest(sum(n), 1), checkpoint LIMIT 1""")
+def best_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.best_row(weighted_eval_loss(spark, folder), "val_loss", "checkpoint").select("checkpoint", "val_loss")
+
+
+_NAMES = ("ckpt_10.pt", "ckpt_2.pt", "ckpt_last.pt", "ckpt_2_copy.pt", "notes.pt", "ckpt_100.pt", "ckpt_000030.pt")
+
+
+@query(
+    "WITH n AS (SELECT unnest(["
+    + ",".join(f"'{x}'" for x in _NAMES)
+    + "]) AS name), p AS (SELECT name, CASE WHEN name = 'ckpt_last.pt' THEN 'ckpt_100.pt' ELSE name END AS real_path FROM n), o AS (SELECT *, row_number() OVER (PARTITION BY real_path ORDER BY name) AS k FROM p),\n"
+    "i AS (SELECT name, real_path, try_cast(nullif(regexp_extract(name, 'ckpt_(\\d{1,18})', 1), '') AS BIGINT) AS iter_num FROM o WHERE k = 1)\n"
+    "SELECT name, real_path, coalesce(iter_num, -1) AS iter_num, (row_number() OVER (ORDER BY coalesce(iter_num, 1000000000000000000), name))::INT AS place FROM i"
+)
+def checkpoint_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    paths = spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("real_path", F.when(F.col("name") == "ckpt_last.pt", "ckpt_100.pt").otherwise(F.col("name")))
+    return metrics.checkpoint_catalog(paths, 100).na.fill(-1, ["iter_num"])
+
+
+@query("SELECT n AS layers, e AS width, (50000 * e + 2048 * e + n * (12 * e * e + 2 * e) + e)::BIGINT AS parameters FROM (VALUES (14::BIGINT, 640::BIGINT), (12, 768), (24, 1024)) t(n, e)")
+def model_param_count(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = spark.createDataFrame([(14, 640), (12, 768), (24, 1024)], "layers bigint, width bigint")
+    return sizes.withColumn("parameters", metrics.parameter_count(F.col("layers"), F.col("width"), F.lit(50000).cast("bigint"), F.lit(2048).cast("bigint")))
+
+
+@query("SELECT t.token, coalesce(v.token_id, -1)::INT AS token_id FROM (SELECT unnest(['<unk>', '<bos>', '<eos>', '<pad>']) AS token) t LEFT JOIN vocab v ON t.token = v.token")
+def special_token_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    listed = spark.createDataFrame([(t,) for t in special_tokens("<bos>, <eos>,,<pad>,<bos>")], "token string")
+    return listed.join(table(spark, folder, "vocab"), "token", "left").select("token", F.coalesce("token_id", F.lit(-1)).alias("token_id"))
+
+
+@query("""
+SELECT event_type, printf('%02d:%02d:%02d', (s // 3600)::BIGINT, (s % 3600 // 60)::BIGINT, (s % 60)::BIGINT) AS elapsed, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.2f KB', n / 1024.0) ELSE printf('%.2f MB', n / 1048576.0) END AS size
+FROM (SELECT event_type, count(*) * 7 AS s, count(*) * 100 AS n FROM events GROUP BY event_type)""")
+def format_progress(spark: SparkSession, folder: str) -> DataFrame:
+    by = table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("k"))
+    return by.select("event_type", metrics.duration(F.col("k") * 7).alias("elapsed"), metrics.byte_size(F.col("k") * 100).alias("size"))
+
+
+# --- streaming ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_WORDS_SQL} SELECT raw AS word, freq FROM c")
+def stream_word_count(spark: SparkSession, folder: str) -> DataFrame:
+    """Micro-batches append partial counts; their sum is the batch answer."""
+    base = f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
+    streaming.incremental_counts(streaming.stream_documents(spark, folder, "documents"), f"{base}/out", f"{base}/state")
+    return streaming.merged_counts(spark, f"{base}/out")
+
+
+@query(_stats_sql("lang", "documents", LEAST, MOST))
+def stream_stats_streamed(spark: SparkSession, folder: str) -> DataFrame:
+    base = f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
+    stream = streaming.stream_documents(spark, folder, "documents").select("lang", "text")
+    return streaming.streamed_stats(stream, "lang", LEAST, MOST, f"stats_{os.urandom(4).hex()}", base)
