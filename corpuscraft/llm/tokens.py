@@ -7,78 +7,21 @@ the pieces of the whitespace pre-tokenizer; a task remembers the token counts of
 pieces, which recur. Counts are joined back to all rows by hash and summed with their
 multiplicities.
 
-The tokenizer's tables are collected: their size is that of a vocabulary, and more than
-``MOST_MERGES`` rows are refused.
-
 Defined results: a null text has null tokens, an empty one none; labels that name no
 language count as ``und``, null sources and domains as null groups.
 """
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import BYTE_ALPHABET, PIECE_PATTERN
+from ..operators.bpe_encode import Model, counter, load_model
 from ..session import prepare, scratch, table
 
-MOST_MERGES = 1_000_000
-REMEMBER = 300_000  # pieces whose counts a task keeps
-
-Model = tuple[tuple[tuple[str, int], ...], tuple[tuple[str, str], ...]]
-
-
-def load_model(vocab: DataFrame, merges: DataFrame) -> Model:
-    """Vocabulary and merges (lower rank first) as tuples."""
-    v = vocab.select("token", "token_id").where("token is not null").limit(MOST_MERGES + 1).collect()
-    m = merges.select("left_token", "right_token", "merge_rank").limit(MOST_MERGES + 1).collect()
-    if max(len(v), len(m)) > MOST_MERGES:
-        raise ValueError("that is not the vocabulary of a tokenizer")
-    m.sort(key=lambda r: r.merge_rank)
-    return tuple((r.token, r.token_id) for r in v), tuple((r.left_token, r.right_token) for r in m)
-
-
-class PieceCounter:
-    """Token counts and ids of texts."""
-
-    def __init__(self, model: Model) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
-        from tokenizers import Tokenizer, models, pre_tokenizers
-
-        vocab = dict(model[0])
-        unknown = "<unk>" if "<unk>" in vocab else None
-        self.bpe = Tokenizer(models.BPE(vocab=vocab, merges=list(model[1]), unk_token=unknown))
-        self.bpe.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        assert len(BYTE_ALPHABET) == 256
-        self.pieces = re.compile(PIECE_PATTERN).findall
-        self.known: dict[str, int] = {}
-
-    def counts(self, texts: list[str | None]) -> list[int | None]:
-        split = [self.pieces(t) if t is not None else None for t in texts]
-        known = self.known
-        new = list({p for s in split if s for p in s if p not in known})
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = list({p for s in split if s for p in s})
-        for p, e in zip(new, self.bpe.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = len(e)
-        return [sum(map(known.__getitem__, s)) if s is not None else None for s in split]
-
-    def ids(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in self.bpe.encode(p, add_special_tokens=False).ids]
-
-
-@lru_cache(maxsize=2)
-def _counter(model: Model) -> PieceCounter:
-    return PieceCounter(model)
-
-
 def token_counts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, ``doc_id, blank, tokens`` of every row; each distinct text is tokenized once."""
     prepare(docs.sparkSession)
@@ -87,11 +30,11 @@ def token_counts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     distinct = marked.where("_text is not null").groupBy("_h1", "_h2").agg(F.first("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(model)
+        encoder = counter(model)
         for got in batches:
             texts = got.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [got.column(0), got.column(1), pa.array(counter.counts(texts), pa.int64()), pa.array([not t.strip() for t in texts])], names=["_h1", "_h2", "tokens", "blank"]
+                [got.column(0), got.column(1), pa.array(encoder.counts(texts), pa.int64()), pa.array([not t.strip() for t in texts])], names=["_h1", "_h2", "tokens", "blank"]
             )
 
     counted = distinct.mapInArrow(run, "_h1 bigint, _h2 bigint, tokens bigint, blank boolean")
