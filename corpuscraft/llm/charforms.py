@@ -9,21 +9,21 @@ text is rebuilt. Letter case, accents, digits, punctuation and styled forms such
 superscripts stay different. Outer blanks do not count.
 
 The explosion keeps the partitioning by row, so only texts travel, never code points;
-texts without any mapped character skip it,
-and so do the runs of a text that hold none. Look-alikes are mapped one way (to Latin where
+texts without any changed character skip it,
+and so do the runs of a text that hold none; only bases with loose marks are decomposed. Look-alikes are mapped one way (to Latin where
 a Latin letter looks the same), so two texts look the same exactly if their forms are
 equal; the form is for comparing, not for display.
 
 Defined results: a null text has a null form; blank texts have the form ''.
 """
 
-from __future__ import annotations
-
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..session import scratch, table
@@ -36,6 +36,7 @@ LOOKALIKES = {
     "ɡ": "g", "ɑ": "a", "ѵ": "v", "ν": "v", "ɩ": "i",
 }
 
+MARK = r"\p{M}"
 EXPAND = 256  # lines of one text up to which pairs are written out one by one
 
 _COMPAT = [(0x2000, 0x200A), (0x2E80, 0x2FD5), (0xFB00, 0xFB06), (0xFF00, 0xFFEF), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0xF900, 0xFAFF)]
@@ -54,85 +55,97 @@ def _plain(ch: str) -> str:
 
 
 @cache
-def mapping() -> tuple[tuple[str, str, int], ...]:
-    """(character, replacement, combining class) of every character that changes or combines; Hangul syllables, which
-    decompose by arithmetic and recompose to themselves, stay whole."""
+def mapping() -> tuple[tuple[str, str, str, int], ...]:
+    """(character, its form alone, its decomposed form before a combining mark, combining class) of every character that
+    changes, decomposes or combines; Hangul syllables, which decompose by arithmetic and recompose to themselves, stay."""
     out = []
-    for c in [*range(0x20, 0xAC00), *range(0xF900, 0x10000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0080)]:
+    for c in [*range(0xAC00), *range(0xF900, 0x10000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0080)]:
         ch = chr(c)
-        new, order = _plain(ch), unicodedata.combining(ch)
-        if new != ch or order:
-            out.append((ch, new, order))
-    out += [(chr(c), _plain(chr(c)), 0) for c in range(0x20) if _plain(chr(c)) != chr(c)]
+        apart, order = _plain(ch), unicodedata.combining(ch)
+        if apart != ch or order:
+            out.append((ch, apart if order else unicodedata.normalize("NFC", apart), apart, order))
     return tuple(out)
 
 
+def _changed() -> list[str]:
+    """Characters whose form differs even when they stand alone, and those that combine."""
+    return [c for c, alone, _, order in mapping() if alone != c or order]
+
+
 @cache
 def compositions() -> tuple[tuple[str, str], ...]:
     """Cluster of a base and its marks, in order -> composed character, one mark or several."""
     out = {}
     for c in [*range(0xC0, 0x3400), *range(0xF900, 0xFB50)]:
         d = unicodedata.normalize("NFD", chr(c))
-        if len(d) > 1 and unicodedata.normalize("NFC", d) == chr(c):
+        if len(d) > 1 and unicodedata.normalize("NFC", d) == chr(c):  # not excluded from composition
             key = "".join(LOOKALIKES.get(x, x) for x in d)
             out.setdefault(key, unicodedata.normalize("NFC", key))
     return tuple(out.items())
 
 
-def _class_of(chars: list[str]) -> str:
-    """A regular-expression class of the characters, as ranges."""
-    points = sorted(map(ord, chars))
-    parts, k = [], 0
-    while k < len(points):
-        j = k
-        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
-            j += 1
-        parts.append(f"\\x{{{points[k]:X}}}" + (f"-\\x{{{points[j]:X}}}" if j > k else ""))
-        k = j + 1
-    return "[" + "".join(parts) + "]"
-
-
 @cache
-def _runs() -> str:
-    """Cuts a text into runs that hold mapped or combining characters with their base, and runs that hold none."""
-    rows = mapping()
-    marks = _class_of([c for c, _, order in rows if order])
-    gone = _class_of([c for c, new, _ in rows if not new])
-    odd = _class_of([c for c, new, order in rows if not order and not c == new == " "])
-    bound = f"[^{marks[1:-1]}](?:{gone}*{marks})+"
-    return f"(?s)(?:{bound}|{odd}|{marks})+|(?:(?!{bound})[^{odd[1:-1]}{marks[1:-1]}])+"
+def _patterns() -> tuple[str, str, str]:
+    """Regular expressions: a character that may change; the runs of a text without combining marks; of one with some.
+
+    The characters that surely stay are given as the few long ranges of them, for a class of many ranges is slow; others
+    are looked up and may turn out to stay. A run is a base with its marks (invisible characters between them included),
+    characters that may change, or characters that stay.
+    """
+    changed = set(_changed())
+    stays = lambda c: chr(c) not in changed and unicodedata.category(chr(c))[0] not in "MC"
+    runs: list[list[int]] = []
+    for c in range(0x20, 0xD800):
+        if stays(c):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    long = sorted(runs, key=lambda r: (r[0] > 0x7F, r[0] - r[1]))[:12]
+    plain = "\n" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in long)
+    bound = r"\P{M}(?:\p{Cf}*\p{M})+"
+    return f"[^{plain}]", f"[{plain}]+|[^{plain}]+", rf"(?s){bound}|\p{{M}}+|(?:(?!{bound})[^{plain}\p{{M}}])+|(?:(?!{bound})[{plain}])+"
+
+
+@F.pandas_udf(StringType())
+def _composed(cluster: pd.Series) -> pd.Series:
+    return cluster.map(lambda c: unicodedata.normalize("NFC", c))
 
 
 def consistent_form(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, text, form`` for every row with a key; rows that repeat a key must repeat its text, or the key must be made
-    unique first."""
+    """``key, text, form`` for every row with a key; a key that is repeated with other texts keeps each row's own form."""
     spark = df.sparkSession
-    rows = mapping()
-    changes = _class_of([c for c, new, order in rows if not (c == new == " ")])
-    base = df.select(df[key].alias(key), df[text].alias(text))
-    flagged = base.where(F.col(key).isNotNull()).withColumn("_odd", F.coalesce(F.col(text).rlike(changes), F.lit(False)))
+    changed, runs_of, marked_runs = _patterns()
+    base = df.select(df[key].alias(key), df[text].alias(text)).where(df[key].isNotNull())
+    flagged = base.withColumn("_odd", F.coalesce(F.col(text).rlike(changed), F.lit(False)))
     simple = flagged.where("not _odd").select(key, text, F.trim(text).alias("form"))
-    known = F.broadcast(spark.createDataFrame([(c, new) for c, new, _ in rows], "_c string, _new string"))
-    order = F.broadcast(spark.createDataFrame([(c, o) for c, _, o in rows if o], "_d string, _class int"))
-    composed = F.broadcast(spark.createDataFrame(list(compositions()), "_cluster string, _whole string"))
-
-    one = flagged.where("_odd").select(key, text).distinct().repartition(key)
-    runs = one.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(_runs()), F.lit(0))).alias("_r", "_run"))
-    runs = runs.withColumn("_mapped", F.col("_run").rlike(changes))
-    points = runs.select(key, "_r", F.posexplode(F.when(F.col("_mapped"), F.split("_run", "")).otherwise(F.array("_run"))).alias("_i", "_c")).where("_c <> ''")
-    points = points.withColumn("_p", F.col("_r").cast("bigint") * (1 << 32) + F.col("_i")).drop("_r", "_i")
-    mapped = points.join(known, "_c", "left").withColumn("_new", F.coalesce("_new", "_c"))
-    pieces = F.when(F.length("_new") > 1, F.when(F.col("_new") == F.col("_c"), F.array("_new")).otherwise(F.split("_new", ""))).otherwise(F.array("_new"))
-    parts = mapped.select(key, "_p", F.posexplode(pieces).alias("_q", "_d")).where("_d <> ''")
-    ranked = parts.join(order, "_d", "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
-    along = Window.partitionBy(key).orderBy("_p", "_q")
-    ranked = ranked.withColumn("_start", F.sum(F.when(F.col("_class") == 0, 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    # clusters: base first, marks by class, equal classes in their order
-    clusters = ranked.groupBy(key, "_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_class", "_p", "_q", "_d"))), lambda s: s["_d"]), "").alias("_cluster"))
-    whole = clusters.join(composed, "_cluster", "left").withColumn("_whole", F.coalesce("_whole", "_cluster"))
-    built = whole.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_whole"))), lambda s: s["_whole"]), "").alias("_form"))
-    forms = one.join(built, key, "left").select(key, text, F.trim(F.coalesce("_form", F.lit(""))).alias("form"))
-    return simple.union(forms)
+    alone = F.broadcast(spark.createDataFrame([(c, a) for c, a, _, order in mapping() if not order], "_c string, _alone string"))
+    apart = F.broadcast(spark.createDataFrame([(c, d) for c, _, d, _ in mapping()], "_c string, _apart string"))
+    order = F.broadcast(spark.createDataFrame([(c, o) for c, _, _, o in mapping() if o], "_d string, _class int"))
+    whole = F.broadcast(spark.createDataFrame(list(compositions()), "_cluster string, _whole string"))
+
+    one = flagged.where("_odd").select(key, text).distinct().withColumn("_id", F.xxhash64(key, text)).repartition("_id")
+    cut = F.when(F.col(text).rlike(MARK), F.regexp_extract_all(F.col(text), F.lit(marked_runs), F.lit(0))).otherwise(F.regexp_extract_all(F.col(text), F.lit(runs_of), F.lit(0)))
+    runs = one.select("_id", F.posexplode(cut).alias("_r", "_run"))
+    runs = runs.withColumn("_bound", F.col("_run").rlike(MARK))
+    # characters that stand alone: one lookup each; a run without changes is one piece
+    free = runs.where("not _bound").select("_id", "_r", F.posexplode(F.when(F.col("_run").rlike(changed), F.split("_run", "")).otherwise(F.array("_run"))).alias("_i", "_c"))
+    place = F.col("_r").cast("bigint") * (1 << 31) + F.col("_i")
+    free = free.join(alone, "_c", "left").select("_id", place.alias("_p"), F.coalesce("_alone", "_c").alias("_piece"))
+    free = free.groupBy("_id").agg(F.collect_list(F.struct("_p", "_piece")).alias("_free"))
+    # bases with marks: decomposed, marks ordered by class behind their base, recomposed
+    points = runs.where("_bound").select("_id", "_r", F.posexplode(F.split("_run", "")).alias("_i", "_c")).where("_c <> ''")
+    points = points.join(apart, "_c", "left").withColumn("_apart", F.coalesce("_apart", "_c"))
+    parts = points.select("_id", "_r", "_i", F.posexplode(F.split("_apart", "")).alias("_q", "_d")).where("_d <> ''").join(order, "_d", "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
+    along = Window.partitionBy("_id", "_r").orderBy("_i", "_q").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("_start", F.sum(F.when(F.col("_class") == 0, 1).otherwise(0)).over(along))
+    clusters = parts.groupBy("_id", "_r", "_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_class", "_i", "_q", "_d"))), lambda s: s["_d"]), "").alias("_cluster"))
+    known = clusters.join(whole, "_cluster", "left").select("_id", (F.col("_r").cast("bigint") * (1 << 31) + F.col("_start")).alias("_p"), F.coalesce("_whole", _composed("_cluster")).alias("_piece"))
+    known = known.groupBy("_id").agg(F.collect_list(F.struct("_p", "_piece")).alias("_marked"))
+    none = F.array().cast("array<struct<_p: bigint, _piece: string>>")
+    built = one.join(free, "_id", "left").join(known, "_id", "left")
+    pieces = F.array_sort(F.concat(F.coalesce("_free", none), F.coalesce("_marked", none)))
+    return simple.union(built.select(key, text, F.trim(F.array_join(F.transform(pieces, lambda s: s["_piece"]), "")).alias("form")))
 
 
 def alike_lines(lines: DataFrame, key: str = "line_id", text: str = "text", one: str = "line_a", two: str = "line_b") -> DataFrame:

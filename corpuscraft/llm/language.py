@@ -17,7 +17,9 @@ looked up once for all languages; its size is bounded by the sample (``SAMPLE_DO
 language), and it is broadcast.
 
 Defined results: null, empty and letterless texts have no language (no row in segments,
-null language with confidence 0 in documents).
+null language with confidence 0 in documents); so have all texts where no document has a
+label that names a language. Rows with a null id are left out, repeated rows count as one
+text each, a statistic's redelivered rows once.
 """
 
 from __future__ import annotations
@@ -114,6 +116,8 @@ class ContextTrees:
         self.slots: list[_Slots] = []
         self.cost: list[np.ndarray] = []
         self.escape: list[np.ndarray] = []
+        if not n:
+            return
         keys_before = np.zeros(0, dtype=np.uint64)
         cost_before = np.full((n, 1), 8.0)
         for order in range(ORDER + 1):
@@ -241,7 +245,7 @@ def sample_trees(docs: DataFrame, codes: DataFrame, text: str = "text", label: s
     rows = docs.select(docs[text].alias("text"), label_language(docs[label], codes).alias("language")).where("language is not null and length(text) >= 60 and length(text) <= 20000")
     sizes = {r["language"]: r["count"] for r in rows.groupBy("language").count().collect()}
     if not sizes:
-        raise ValueError("no document has a label that names a language")
+        return ContextTrees({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("language")] * (1 << 20)
     samples: dict[str, list[str]] = {k: [] for k in sizes}
@@ -275,7 +279,7 @@ def segments(df: DataFrame, key: str, trees: ContextTrees, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = model.value
-        for got in batches:
+        for got in batches if trees.languages else ():
             ids = got.column(0).to_numpy()
             for first, part in rounds(got.column(1).to_pylist(), ROUND):
                 own, chars, alpha, bits, lang = units_of(trees, part)

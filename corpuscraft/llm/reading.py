@@ -10,7 +10,7 @@ isotonic regression on held-out folds. Folds are sets of sources, so the
 cross-validation tells how the level holds on sources never seen.
 
 Defined results: texts under ``LEAST`` letters, null and empty ones have no level; rows with
-a null id are left out.
+a null id are left out; without labels no document has a level.
 """
 
 from __future__ import annotations
@@ -130,19 +130,19 @@ class Level:
         return self.calibrated(self.trees.predict(features(texts, self.scores, batch)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Level:
-    """A model from at most ``most`` labelled documents, chosen by hash of their id."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Level | None:
+    """A model from at most ``most`` labelled documents, chosen by hash of their id; None where none is labelled."""
     level = labels.where("reading_level is not null and doc_id is not null").select("doc_id", "rater", "reading_level").distinct().groupBy("doc_id").agg(F.median("reading_level").alias("level"))
     chosen = level.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text", "source").where("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "level").orderBy("doc_id").limit(2 * most).collect()
     rows = [r for r in rows if len(r.text) >= LEAST]
     if not rows:
-        raise ValueError("no labelled document")
+        return None
     return Level([r.text for r in rows], np.array([float(r.level) for r in rows]), [r.source or "" for r in rows])
 
 
-def reading_levels(docs: DataFrame, model: Level, key: str = "doc_id", text: str = "text") -> DataFrame:
+def reading_levels(docs: DataFrame, model: Level | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, level`` (1 to 5) of documents with ``LEAST`` letters or more; one scan."""
     spark = docs.sparkSession
     prepare(spark)
@@ -150,7 +150,7 @@ def reading_levels(docs: DataFrame, model: Level, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for got in batches:
+        for got in batches if model else ():
             ids = got.column(0).to_numpy()
             for first, part in rounds(got.column(1).to_pylist()):
                 batch = LetterBatch(part)
@@ -182,6 +182,8 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
 def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-validation by source: labelled documents and the root mean squared error of calibrated held-out predictions."""
     model = _fit(spark, folder)
+    if model is None:
+        return spark.createDataFrame([], "source string, documents bigint, rmse double")
     error = (model.calibrated(model.held) - model.level) ** 2
     rows = [(str(s), int((model.source == s).sum()), float(np.sqrt(error[model.source == s].mean()))) for s in sorted(set(model.source))]
     return spark.createDataFrame(rows, "source string, documents bigint, rmse double")
