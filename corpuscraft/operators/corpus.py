@@ -53,7 +53,7 @@ def ordinal(rows: DataFrame, order: str, name: str, count: Column | None = None,
     running total is taken inside each range, so no task sees more than a range.
     """
     value = F.lit(1) if count is None else count
-    edges = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))))
+    edges = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     if edges:
         bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(order)))
     else:
