@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare, table
 from .boosting import Boosted, Isotonic
-from .letters import LetterBatch, mix, rounds
+from .letters import LetterBatch, distinct, mix, rounds
 
 LEAST = 80
 SAMPLE_DOCS = 4000
@@ -60,7 +60,7 @@ def _stretches(batch: LetterBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def vocabulary_scores(slots: np.ndarray, owner: np.ndarray, level: np.ndarray) -> np.ndarray:
     """Mean of level - 3 over the documents that hold a stretch, shrunken to 0 by two documents."""
-    pair = np.unique(owner * _SLOTS + slots)
+    pair = distinct(owner * _SLOTS + slots)
     own, slot = np.divmod(pair, _SLOTS)
     count = np.bincount(slot, minlength=_SLOTS)
     total = np.bincount(slot, level[own] - 3.0, minlength=_SLOTS)
@@ -103,7 +103,7 @@ def features(texts: list[str | None], scores: np.ndarray | list[np.ndarray], bat
     first = place * 2 < batch.size[owner]
     halves = [np.bincount(owner[h], value[h], minlength=n) / np.maximum(np.bincount(owner[h], minlength=n), 1) for h in (first, ~first)]
     out[:, col["half_gap"]] = np.abs(halves[0] - halves[1])
-    key = np.unique(owner * _SLOTS + slot)
+    key = distinct(owner * _SLOTS + slot)
     out[:, col["new_stretches"]] = np.bincount(key // _SLOTS, minlength=n) / many
     return out
 
