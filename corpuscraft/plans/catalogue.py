@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import metrics
 from ..functions.text import BYTE_ALPHABET, WHITE_RANGES, byte_level, byte_level_inverse, gpt2_pieces, pieces
-from ..operators import bpe_encode, bpe_train, corpus, resume, shards, wordcount
+from ..operators import batches, bpe_encode, bpe_train, corpus, resume, shards, wordcount
 from ..session import scratch, shared_dir, table
 from ..sources.shard_files import read_shards, token_dtype, write_shards
 from ..sources.tokenizer_file import special_tokens
@@ -359,6 +359,27 @@ def pack_stride_l1(spark: SparkSession, folder: str) -> DataFrame:
     return _sums(shards.windows(tokens, LENGTH, LENGTH + 1, total))
 
 
+@query(f"SELECT seq_id // 16 AS batch_id, count(*) AS n, sum(sum_x)::BIGINT AS sum_x, sum(sum_y)::BIGINT AS sum_y FROM ({_windows_sql(LENGTH)}) GROUP BY 1")
+def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Contiguous batches of 16 sequences."""
+    tokens, total = _tokens(spark, folder)
+    packed = batches.contiguous_batches(_sums(shards.windows(tokens, LENGTH, LENGTH, total)), 16)
+    return packed.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("sum_x").alias("sum_x"), F.sum("sum_y").alias("sum_y"))
+
+
+@query()
+def random_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch of 16 sequences at seeded random starts."""
+    tokens, total = _tokens(spark, folder)
+    return _sums(batches.random_batch(tokens, total, LENGTH, 16, 42))
+
+
+@query("SELECT doc_id, unnest([0, 1, 2])::INT AS epoch FROM documents")
+def stream_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """Three passes over the stream, each row once in each."""
+    return batches.epochs(_docs(spark, folder).select("doc_id"), "doc_id", 3, 42).select("doc_id", "epoch")
+
+
 @query()
 def shuffle_deterministic(spark: SparkSession, folder: str) -> DataFrame:
     """Two epochs in their seeded orders."""

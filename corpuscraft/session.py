@@ -21,8 +21,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a temporary one only where none is named (local mode)."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
