@@ -124,7 +124,7 @@ def consistent_form(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     order = F.broadcast(spark.createDataFrame([(c, o) for c, _, _, o in mapping() if o], "_d string, _class int"))
     whole = F.broadcast(spark.createDataFrame(list(compositions()), "_cluster string, _whole string"))
 
-    one = flagged.where("_odd").select(key, text).distinct().withColumn("_id", F.xxhash64(key, text)).repartition("_id")
+    one = flagged.where("_odd").select(key, text).withColumn("_id", F.xxhash64(key, text)).repartition("_id").distinct()
     cut = F.when(F.col(text).rlike(MARK), F.regexp_extract_all(F.col(text), F.lit(marked_runs), F.lit(0))).otherwise(F.regexp_extract_all(F.col(text), F.lit(runs_of), F.lit(0)))
     runs = one.select("_id", F.posexplode(cut).alias("_r", "_run"))
     runs = runs.withColumn("_bound", F.col("_run").rlike(MARK))

@@ -130,22 +130,38 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_quotas(spark: SparkSession, folder: str) -> DataFrame:
-    return _mixed(spark, folder)
+    rounded = ("wanted_share", "wanted_chars", "passes", "reached_share")
+    mixed = _mixed(spark, folder)
+    return mixed.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in mixed.columns])
 
 
 def p7_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shard_quotas(_mixed(spark, folder), table(spark, folder, "stream_stats"), table(spark, folder, "lang_codes"))
 
 
-# Exact arithmetic on both sides: the wanted share is compared as weight * total > passes * available * sum of weights.
-P7_FOUND_SQL = """
+_SHARES_SQL = """
 WITH plan AS (SELECT DISTINCT mix_id, run_id, language, target_weight, max_passes, total_chars FROM mix_plan WHERE mix_id IS NOT NULL AND target_weight IS NOT NULL),
 named AS (
   SELECT p.mix_id, p.run_id, c.lang AS language, sum(p.target_weight) AS weight, max(p.max_passes) AS max_passes, max(p.total_chars) AS total_chars
   FROM plan p JOIN lang_codes c ON lower(trim(p.language)) = lower(trim(c.alias)) GROUP BY ALL),
 valid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stat_id ORDER BY finished_at DESC) AS rn FROM stream_stats) WHERE rn = 1),
 have AS (SELECT v.run_id, c.lang AS language, sum(v.emitted_chars) AS available FROM valid v JOIN lang_codes c ON lower(trim(v.language)) = lower(trim(c.alias)) GROUP BY ALL),
-shares AS (SELECT *, weight / sum(weight) OVER (PARTITION BY mix_id, run_id) AS share FROM named)
-SELECT s.mix_id, s.language FROM shares s LEFT JOIN have h ON s.run_id = h.run_id AND s.language = h.language
-WHERE s.share * s.total_chars > s.max_passes * coalesce(h.available, 0)
+shares AS (
+  SELECT n.mix_id, n.run_id, n.language, weight, max_passes, max(total_chars) OVER m AS total, weight / sum(weight) OVER m AS share, coalesce(available, 0)::BIGINT AS available
+  FROM named n LEFT JOIN have h ON n.run_id = h.run_id AND n.language = h.language WINDOW m AS (PARTITION BY n.mix_id, n.run_id))
 """
+
+P7_FOUND_SQL = _SHARES_SQL + "SELECT mix_id, language FROM shares WHERE share * total > max_passes * available"
+
+# The apportionment as a ranking: a mixture's greatest quotients, of which a language offers as many as it may have.
+P7_QUOTAS_SQL = (
+    _SHARES_SQL
+    + f""",
+offers AS (SELECT mix_id, run_id, language, weight / (2 * k + 1) AS quotient, k FROM (SELECT *, unnest(range(least({BLOCKS}, max_passes * available * {BLOCKS} // total)::BIGINT)) AS k FROM shares WHERE total > 0)),
+taken AS (SELECT mix_id, run_id, language, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY mix_id, run_id ORDER BY quotient DESC, language, k) AS rn FROM offers) WHERE rn <= {BLOCKS} GROUP BY ALL),
+out AS (SELECT s.*, coalesce(quota, 0)::BIGINT AS quota, (coalesce(quota, 0) * total // {BLOCKS})::BIGINT AS reached_chars FROM shares s LEFT JOIN taken t ON s.mix_id = t.mix_id AND s.run_id = t.run_id AND s.language = t.language)
+SELECT mix_id, run_id, language, round(share, 6) AS wanted_share, round(share * total, 6) AS wanted_chars, available AS available_chars, max_passes, quota,
+  round(CASE WHEN available > 0 THEN reached_chars / available ELSE 0 END, 6)::DOUBLE AS passes, reached_chars, round(CASE WHEN total > 0 THEN reached_chars / total ELSE 0 END, 6)::DOUBLE AS reached_share,
+  share * total > max_passes * available AS short
+FROM out"""
+)

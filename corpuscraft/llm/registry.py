@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": mixture.P7_FOUND_SQL}
+    return {"p7_found": mixture.P7_FOUND_SQL, "p7_quotas": mixture.P7_QUOTAS_SQL}
