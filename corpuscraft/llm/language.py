@@ -4,8 +4,8 @@ For each language a variable-order context tree over bytes (contexts of up to fo
 of lower-case UTF-8) is counted on a bounded sample of labelled documents and frozen. The
 code length of a byte follows the longest context the language knows: -log2(count / (n +
 d)) for a byte seen n-of-d there, else the escape -log2(d / (n + d)) and the next shorter
-context, and 8 bits below all. Labels are noisy, so sample documents whose code is
-shorter in another language are dropped and the trees counted again.
+context, and 8 bits below all. Labels are noisy, so sample documents that trees
+of other sample documents call otherwise are dropped, and the trees are counted again.
 
 Texts are cut into sentences and lines. Each unit has a code length in every language; the
 cheapest path through the units of a document, a change of language costing ``SWITCH``
@@ -254,14 +254,19 @@ def sample_trees(docs: DataFrame, codes: DataFrame, text: str = "text", label: s
             samples[r["language"]].append(r["text"])
     for k in samples:
         samples[k].sort()
-    trees = ContextTrees(samples)
-    kept: dict[str, list[str]] = {}
-    for l, k in enumerate(trees.languages):
-        kept[k] = []
-        for first, part in rounds(samples[k], ROUND):
-            own, _, alpha, _, lang = units_of(trees, part)
-            agree = np.bincount(own, alpha * (lang == l), minlength=len(part)) >= 0.9 * np.bincount(own, alpha, minlength=len(part))
-            kept[k] += [t for t, ok in zip(part, agree, strict=True) if ok]
+    return cleaned_trees(samples)
+
+
+def cleaned_trees(samples: dict[str, list[str]], folds: int = 3) -> ContextTrees:
+    """Trees of the texts that trees of the *other* folds call by their label, for a text's own counts would excuse it."""
+    kept: dict[str, list[str]] = {k: [] for k in samples}
+    for fold in range(folds):
+        trees = ContextTrees({k: [t for i, t in enumerate(v) if i % folds != fold] or v for k, v in samples.items()})
+        for l, k in enumerate(trees.languages):
+            for _, part in rounds([t for i, t in enumerate(samples[k]) if i % folds == fold], ROUND):
+                own, _, alpha, _, lang = units_of(trees, part)
+                agree = np.bincount(own, alpha * (lang == l), minlength=len(part)) >= 0.95 * np.bincount(own, alpha, minlength=len(part))
+                kept[k] += [t for t, ok in zip(part, agree, strict=True) if ok]
     return ContextTrees({k: v or samples[k] for k, v in kept.items()})
 
 
