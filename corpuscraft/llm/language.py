@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +44,11 @@ SWITCH = 14.0
 SAMPLE_DOCS = 250
 MIN_ALPHA = 60
 PART = 0.2
+SHORT = 12  # characters of a unit that may be mere filler
 ROUND = 400_000
 
 _UNIT = re.compile(r"[^.!?。！？\n]*[.!?。！？\n]+\s*|[^.!?。！？\n]+")
+_BLANKS = re.compile(r"[^\S\n]+")
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 _START = b"\n" * ORDER
@@ -59,6 +63,16 @@ def _alpha_table() -> np.ndarray:
 _ALPHA: list[np.ndarray] = []
 
 
+def _plain(text: str) -> str:
+    return _BLANKS.sub(" ", unicodedata.normalize("NFKC", text))
+
+
+def _usable(text: str) -> bool:
+    """Whether a sample text is not mostly one thing again and again, which would weigh too much in its tree."""
+    raw = text.encode("utf-8", "replace")
+    return 6 * len(zlib.compress(raw, 1)) > len(raw)
+
+
 class _Slots:
     """Open addressing for 64-bit keys; answers with the place of a key in ``keys`` or -1."""
 
@@ -111,7 +125,7 @@ class ContextTrees:
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.languages = sorted(samples)
-        joined = {k: np.frombuffer(b"".join(_START + t.lower().encode() for t in samples[k]) or _START, dtype=np.uint8) for k in self.languages}
+        joined = {k: np.frombuffer(b"".join(_START + _plain(t).lower().encode() for t in samples[k]) or _START, dtype=np.uint8) for k in self.languages}
         n = len(self.languages)
         self.slots: list[_Slots] = []
         self.cost: list[np.ndarray] = []
@@ -216,11 +230,14 @@ def units_of(trees: ContextTrees, texts: list[str | None]) -> tuple[np.ndarray,
         _ALPHA.append(_alpha_table())
     owner: list[int] = []
     parts: list[str] = []
+    again: list[bool] = []
     for k, t in enumerate(texts):
         if t:
             found = _UNIT.findall(t)
             parts += found
             owner += [k] * len(found)
+            many = Counter(p for p in found if len(p) <= SHORT)
+            again += [many[p] > 3 for p in found] if many else [False] * len(found)
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, np.zeros((len(trees.languages), 0)), none
@@ -228,15 +245,16 @@ def units_of(trees: ContextTrees, texts: list[str | None]) -> tuple[np.ndarray,
     chars = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
     points = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), dtype=np.uint32)
     alpha = np.add.reduceat(_ALPHA[0][points].astype(np.int64), np.cumsum(chars) - chars)
-    # full-width letters would read as another script; the units that hold some are read in their plain form
-    wide = np.add.reduceat(((points >= 0xFF21) & (points <= 0xFF5A)).astype(np.int64), np.cumsum(chars) - chars)
-    parts = list(parts)
-    for k in np.nonzero(wide)[0]:
-        parts[k] = unicodedata.normalize("NFKC", parts[k])
+    # full-width letters and odd or doubled blanks say nothing of the language; units with some are read in plain form
+    odd = ((points >= 0xFF21) & (points <= 0xFF5A)) | (points == 0xA0) | ((points >= 0x2000) & (points <= 0x206F)) | (points == 0x3000)
+    odd[1:] |= (points[1:] == 0x20) & (points[:-1] == 0x20)
+    for k in np.nonzero(np.add.reduceat(odd.astype(np.int64), np.cumsum(chars) - chars))[0]:
+        parts[k] = _plain(parts[k])
     lowered = "\0".join(parts).lower().encode("utf-8", "replace").split(b"\0") if not any("\0" in p for p in parts) else [p.lower().encode("utf-8", "replace") for p in parts]
     size = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
     data = np.frombuffer(_START + b"".join(lowered), dtype=np.uint8)
     bits = trees.bits(data, np.cumsum(size) - size)
+    bits[:, np.array(again)] *= 0.002  # a word said over and over is hardly new evidence; it follows its neighbours
     return own, chars, alpha, bits, path(bits, own)
 
 
@@ -250,7 +268,7 @@ def sample_trees(docs: DataFrame, codes: DataFrame, text: str = "text", label: s
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("language")] * (1 << 20)
     samples: dict[str, list[str]] = {k: [] for k in sizes}
     for r in rows.where(draw).limit(4 * most * len(sizes)).collect():
-        if len(samples[r["language"]]) < 2 * most:
+        if len(samples[r["language"]]) < 2 * most and _usable(r["text"]):
             samples[r["language"]].append(r["text"])
     for k in samples:
         samples[k].sort()
