@@ -40,7 +40,7 @@ def train(spark: SparkSession, s: Settings) -> list[str]:
     return vocab
 
 
-def prepare_shards(spark: SparkSession, s: Settings) -> int:
+def write_token_shards(spark: SparkSession, s: Settings) -> int:
     """Writes token shards and meta.json from ``out/tokenizer.json``; returns the number of tokens."""
     vocab, merges, _ = read_tokenizer(os.path.join(s.out, "tokenizer.json"))
     model = (tuple(vocab.items()), tuple(merges))
@@ -61,7 +61,7 @@ def main(arguments: list[str]) -> None:
         sys.exit(__doc__)
     s = settings(arguments[1:], ".env")
     spark = SparkSession.builder.appName("corpuscraft").getOrCreate()
-    print(len(train(spark, s)) if arguments[0] == "train" else prepare_shards(spark, s))
+    print(len(train(spark, s)) if arguments[0] == "train" else write_token_shards(spark, s))
 
 
 if __name__ == "__main__":

@@ -64,7 +64,7 @@ def test_command_line(spark, tmp_path):
     common = ["--data", f"{tmp_path}/*.json", "--out", out, "--vocab-size", "300", "--max-tokens-per-shard", "100"]
     vocab = cli.train(spark, cli.settings(common))
     assert 259 < len(vocab) <= 300 and os.path.exists(f"{out}/merges.txt")
-    total = cli.prepare_shards(spark, cli.settings(common))
+    total = cli.write_token_shards(spark, cli.settings(common))
     sizes = [r.num_tokens for r in read_manifest(spark, f"{out}/meta.json").orderBy("file").collect()]
     assert sum(sizes) == total and set(sizes[:-1]) == {100}
     ids = [t for r in read_shards(spark, out, "uint16").orderBy("file").collect() for t in r.tokens]
