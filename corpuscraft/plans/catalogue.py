@@ -264,11 +264,21 @@ def bpe_encode_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode.encode_documents(_docs(spark, folder), model, 1, 2).select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
+#: Tokens of each document under all merges: merges in rank order fold over the delimited symbols of each distinct piece.
+DOC_TOKENS_CTE = f"""{_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc),
+g AS (SELECT list(chr(2) || left_token || chr(3) || chr(2) || right_token || chr(3) || chr(1) || chr(2) || left_token || right_token || chr(3) ORDER BY merge_rank) AS rules FROM merges),
+e0 AS (SELECT raw, chr(2) || array_to_string([abc[('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 1] for i in range(strlen(raw))], chr(3) || chr(2)) || chr(3) AS s FROM c, a),
+e AS (SELECT raw, list_reduce(list_concat([s], rules), lambda x, m: replace(x, split_part(m, chr(1), 1), split_part(m, chr(1), 2))) AS s FROM e0, g),
+sized AS (SELECT raw, length(s) - length(replace(s, chr(2), '')) AS n FROM e),
+placed AS (SELECT doc_id, unnest({_PIECES}) AS raw FROM documents WHERE text IS NOT NULL),
+doc_tokens AS (SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) d LEFT JOIN placed p ON d.doc_id = p.doc_id LEFT JOIN sized s ON p.raw = s.raw GROUP BY d.doc_id)"""
+
+
 def _model(spark: SparkSession, folder: str) -> bpe_encode.Model:
     return bpe_encode.load_model(table(spark, folder, "vocab"), table(spark, folder, "merges"))
 
 
-@query()
+@query(f"WITH {DOC_TOKENS_CTE} SELECT doc_id, n_tokens FROM doc_tokens")
 def encode_udf_full_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode.count_documents(_docs(spark, folder), _model(spark, folder))
 
