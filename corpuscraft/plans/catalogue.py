@@ -29,6 +29,7 @@ SHARD = 50_000  # tokens of a shard
 SPECIALS = ("<unk>", "<bos>", "<eos>")
 
 _WS = "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in WHITE_RANGES)
+WHITE_SQL = _WS  # the white space of the pre-tokenizer, for classes in SQL
 #: The pieces of a text, for SQL.
 _PIECES = f"regexp_extract_all(text, '[{_WS}]*[^{_WS}]+|[{_WS}]+')"
 _ALPHABET = "[" + ",".join(f"chr({ord(c)})" for c in BYTE_ALPHABET) + "]"
