@@ -27,4 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p7_found": mixture.P7_FOUND_SQL, "p7_quotas": mixture.P7_QUOTAS_SQL}
+    return {
+        "p6_found": tokens.P6_FOUND_SQL,
+        "p6_budget": tokens.P6_BUDGET_SQL,
+        "p7_found": mixture.P7_FOUND_SQL,
+        "p7_quotas": mixture.P7_QUOTAS_SQL,
+        "p8_found": tokens.P8_FOUND_SQL,
+    }

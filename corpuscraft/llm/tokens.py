@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.bpe_encode import Model, counter, load_model
+from ..plans.catalogue import DOC_TOKENS_CTE, WHITE_SQL
 from ..session import prepare, scratch, table
 
 def token_counts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -188,3 +189,19 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     packed = packed_documents(table(spark, folder, "documents"), _model(spark, folder))
     by = packed.groupBy("container").agg(F.sum("size").alias("used"))
     return by.agg(F.count("*").alias("containers"), F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.round(1 - F.sum("used") / (F.count("*") * CAPACITY), 6).alias("empty_share"))
+
+
+# --- SQL ----------------------------------------------------------------------------------------
+
+_BLANK = f"regexp_full_match(text, '[{WHITE_SQL}\\x{{1C}}-\\x{{1F}}]*')"
+
+P6_FOUND_SQL = f"""WITH {DOC_TOKENS_CTE},
+valid AS (SELECT * FROM (SELECT shard_id, num_tokens, row_number() OVER (PARTITION BY shard_id ORDER BY written_at DESC, num_tokens DESC NULLS LAST) AS rn FROM shard_info WHERE shard_id IS NOT NULL) WHERE rn = 1),
+own AS (SELECT shard_id, sum(CASE WHEN {_BLANK} THEN 0 ELSE n_tokens + 1 END) AS counted FROM documents JOIN doc_tokens USING (doc_id) WHERE shard_id IS NOT NULL GROUP BY shard_id)
+SELECT v.shard_id FROM valid v LEFT JOIN own o ON v.shard_id = o.shard_id WHERE num_tokens IS NULL OR 10 * abs(num_tokens - coalesce(counted, 0)) > coalesce(counted, 0)"""
+
+P6_BUDGET_SQL = f"""WITH {DOC_TOKENS_CTE}
+SELECT source, coalesce(c.lang, 'und') AS language, content_domain, count(*) AS documents, coalesce(sum(n_tokens), 0)::BIGINT AS tokens
+FROM documents d LEFT JOIN lang_codes c ON lower(trim(d.lang)) = lower(trim(c.alias)) LEFT JOIN doc_tokens t ON d.doc_id = t.doc_id GROUP BY ALL"""
+
+P8_FOUND_SQL = f"WITH {DOC_TOKENS_CTE} SELECT doc_id FROM doc_tokens WHERE n_tokens > {CAPACITY}"

@@ -73,3 +73,20 @@ def test_registry(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert {f"p{n}_found" for n in range(1, 11)} <= set(registry.queries())
     assert callable(mixture.p7_found)
+
+
+def test_sql(spark):
+    """Queries with SQL equal it on the smallest tables."""
+    import os
+
+    import duckdb
+
+    from tests.test_catalogue import FOLDER
+    from tests.test_catalogue import rows as sorted_rows
+
+    c = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        c.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{FOLDER}/{f}')")
+    for name, sql in registry.oracle_sql().items():
+        got, want = registry.queries()[name](spark, FOLDER).toPandas(), c.sql(sql).df()
+        assert sorted_rows(got) == sorted_rows(want), name
