@@ -125,7 +125,16 @@ def pretokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).where("text is not null").select("doc_id", F.size(pieces(F.col("text"))).cast("bigint").alias("n_pieces"))
 
 
-@query()
+def _gpt2_sql() -> str:
+    """The count without look-ahead: a run of white space before a word gives one piece more only if it is longer than one
+    and does not end in a blank."""
+    other = r"\x{9}-\x{D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    white = rf"\x{{20}}{other}"
+    found = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{white}\p{{L}}\p{{N}}]+|[{white}]+"
+    return f"SELECT doc_id, (len(regexp_extract_all(text, '{found}')) + len(regexp_extract_all(text, '[{white}][{other}][^{white}]')))::BIGINT AS n_pieces FROM documents WHERE text IS NOT NULL"
+
+
+@query(_gpt2_sql())
 def pretokenize_gpt2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).where("text is not null").select("doc_id", F.size(gpt2_pieces(F.col("text"))).cast("bigint").alias("n_pieces"))
 
