@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch, table
+from .pairing import blocks, pairs
 from .positional import EXPAND, similar_classes
 
 LEAST = 100
@@ -17,28 +18,23 @@ THRESHOLD = 0.6
 
 
 def written_out(marked: DataFrame, reps: DataFrame, links: DataFrame, cross: bool, one: str, two: str) -> DataFrame:
-    """Pairs of ids from links between classes and the classes' own copies.
+    """All pairs of ids from links between classes and within the classes, whatever their size.
 
-    Copies of classes of up to ``EXPAND`` members are written out pair by pair. A larger
-    class takes part with one member a side (the least id) and has a row for each other
-    member with that one, which says the same without a square number of rows.
+    Members are taken in blocks of about ``EXPAND``; pairs of blocks are spread over tasks (``pairing``).
     With ``cross`` only pairs with one id on side 1 and the other on side 2 count.
     """
     many = reps.where("members > 1").select("d1", "d2", "rep", "members")
     linked = links.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    single = reps.where("members = 1").join(linked, "rep", "left_semi").select(F.col("rep").alias("class"), F.col("rep").alias("id"), F.col("sides").alias("side"), F.lit(False).alias("wide"))
-    grown = marked.join(many, ["d1", "d2"]).select(F.col("rep").alias("class"), "id", "side", (F.col("members") > EXPAND).alias("wide"))
-    lead = grown.where("wide").groupBy("class", "side").agg(F.min("id").alias("id")).select("class", "id", "side", F.lit(True).alias("wide"))
-    members = grown.where("not wide").union(lead).union(single)
-    a = members.select(F.col("class").alias("a"), F.col("id").alias("ia"), F.col("side").alias("sa"))
-    b = members.select(F.col("class").alias("b"), F.col("id").alias("ib"), F.col("side").alias("sb"))
-    within = reps.where("members > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    pairs = links.select("a", "b").union(within).join(a, "a").join(b, "b").select("ia", "sa", "ib", "sb")
-    star = grown.where("wide").join(lead.select("class", F.col("id").alias("ib"), F.col("side").alias("sb")), "class").select(F.col("id").alias("ia"), F.col("side").alias("sa"), "ib", "sb")
-    out = pairs.union(star).where("ia <> ib")
+    single = reps.where("members = 1").join(linked, "rep", "left_semi").select(F.col("rep").alias("class"), F.col("rep").alias("id"), F.col("sides").alias("side"), "members")
+    grown = marked.join(many, ["d1", "d2"]).select(F.col("rep").alias("class"), "id", "side", "members")
+    parts = scratch(blocks(grown.union(single), EXPAND), "blocks")
+    a = parts.select(F.col("class").alias("a"), F.struct("class", "side", "loose", "block").alias("ka"), F.col("ids").alias("x"))
+    b = parts.select(F.col("class").alias("b"), F.struct("class", "side", "loose", "block").alias("kb"), F.col("ids").alias("y"))
+    within = many.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    met = links.select("a", "b").union(within).distinct().join(a, "a").join(b, "b").where("ka <= kb")
     if cross:
-        out = out.where("sa <> sb")
-    return out.select(F.least("ia", "ib").alias(one), F.greatest("ia", "ib").alias(two)).distinct()
+        met = met.where("ka.side <> kb.side")
+    return pairs(met.select("x", "y", F.expr("ka.loose or kb.loose").alias("loose"), F.expr("ka = kb").alias("same")), one, two)
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:

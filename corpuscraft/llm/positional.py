@@ -39,7 +39,7 @@ MIN_LISTS = 2
 MIN_BYTES = 78
 BLOCK = 1024
 BROADCAST_IDS = 500_000  # ids of paired texts up to which they are broadcast to the scan
-EXPAND = 256  # copies of one text up to which its pairs are written out one by one
+EXPAND = 256  # ids in a block when the pairs of classes are written out
 
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
