@@ -27,6 +27,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..session import scratch, table
+from .pairing import blocks, pairs
 
 # Letters that look the same as a Latin one, case by case.
 LOOKALIKES = {
@@ -37,7 +38,8 @@ LOOKALIKES = {
 }
 
 MARK = r"\p{M}"
-EXPAND = 256  # lines of one text up to which pairs are written out one by one
+EXPAND: int | None = None  # lines of one text beyond which only the least id takes part; None: all take part
+BLOCK_LINES = 256  # lines in a block when pairs are written out
 
 _COMPAT = [(0x2000, 0x200A), (0x2E80, 0x2FD5), (0xFB00, 0xFB06), (0xFF00, 0xFFEF), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0xF900, 0xFAFF)]
 
@@ -149,17 +151,22 @@ def consistent_form(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def alike_lines(lines: DataFrame, key: str = "line_id", text: str = "text", one: str = "line_a", two: str = "line_b") -> DataFrame:
-    """Pairs of ids, smaller first, of non-blank texts that have one form but not the same characters.
+    """All pairs of ids, smaller first, of non-blank texts that have one form but not the same characters.
 
-    Lines with the same characters form one variant. Pairs of variants of one form are written out line by line while
-    both have up to ``EXPAND`` lines; a larger variant takes part with its least id, and ``line_forms`` lists its lines.
+    Lines with the same characters form one spelling, taken in blocks of about ``BLOCK_LINES``; the pairs of blocks of two
+    spellings of one form are spread over tasks (``pairing``). Only where ``EXPAND`` is set, which no query does, a
+    spelling of more lines takes part with its least id alone.
     """
     forms = scratch(consistent_form(lines, key, text).where("form <> ''"), "forms")
-    variants = forms.groupBy("form", text).agg(F.count("*").alias("n"), F.min(key).alias("least"))
+    variants = forms.groupBy("form", text).agg(F.count("*").alias("members"), F.min(key).alias("least"))
     several = variants.groupBy("form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("form")
-    mixed = scratch(forms.join(several, "form", "left_semi").join(variants, ["form", text]).where((F.col("n") <= EXPAND) | (F.col(key) == F.col("least"))).select("form", F.col(text).alias("t"), F.col(key).alias("id")), "alike")
-    other = mixed.select("form", F.col("t").alias("u"), F.col("id").alias("jd"))
-    return mixed.join(other, "form").where("t <> u and id < jd").select(F.col("id").alias(one), F.col("jd").alias(two)).distinct()
+    mixed = forms.join(several, "form", "left_semi").join(variants, ["form", text])
+    if EXPAND is not None:
+        mixed = mixed.where((F.col("members") <= EXPAND) | (F.col(key) == F.col("least")))
+    parts = scratch(blocks(mixed.select(F.col("form").alias("class"), F.col(text).alias("side"), F.col(key).alias("id"), "members"), BLOCK_LINES), "alike")
+    other = parts.select("class", F.col("side").alias("u"), F.col("loose").alias("v"), F.col("ids").alias("y"))
+    met = parts.join(other, "class").where("side < u").select(F.col("ids").alias("x"), "y", F.expr("loose or v").alias("loose"), F.lit(False).alias("same"))
+    return pairs(met, one, two)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -56,3 +56,10 @@ def test_pairs(spark, monkeypatch):
     got = {tuple(r) for r in charforms.alike_lines(df).collect()}
     assert got < true and (3, 101) in got and (3, 103) in got
     assert charforms.alike_lines(df.limit(0)).count() == 0
+
+
+def test_wide_spellings_keep_every_line(spark):
+    lines = [*((k, "the same") for k in range(300)), *((k, "the\u200b same") for k in range(300, 600)), (600, "thе same"), (601, "The same"), (9, "thе same")]
+    df = spark.createDataFrame(lines, "line_id bigint, text string")
+    found = sorted(tuple(r) for r in charforms.alike_lines(df).collect())
+    assert found == sorted({(min(i, j), max(i, j)) for i, a in lines for j, b in lines if i != j and a != b and "The same" not in (a, b)})
