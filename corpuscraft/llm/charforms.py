@@ -169,6 +169,12 @@ def alike_lines(lines: DataFrame, key: str = "line_id", text: str = "text", one:
     return pairs(met, one, two)
 
 
+def document_forms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, form, changed`` of every id and text, repeated rows once."""
+    forms = consistent_form(docs.select(key, text).distinct(), key, text)
+    return forms.select(key, "form", (F.col(text) != F.col("form")).alias("changed"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike_lines(table(spark, folder, "corpus_lines"))
 
@@ -181,7 +187,17 @@ def p4_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its form and whether that differs from the text."""
+    return document_forms(table(spark, folder, "documents"))
+
+
+def p4_sources(spark: SparkSession, folder: str) -> DataFrame:
     """Per source: documents and how many of them change in their consistent form."""
     docs = table(spark, folder, "documents")
     forms = consistent_form(docs, "doc_id")
     return docs.select("doc_id", "source").join(forms, "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("text") != F.col("form")).alias("changed"))
+
+
+def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per row of the stream, redelivered ones once: its form and whether that differs from the text."""
+    return document_forms(table(spark, folder, "stream_rows"), "row_id")

@@ -12,7 +12,7 @@ _QUERIES = (
     splits.p1_found, splits.p1_report,
     language.p2_found, language.p2_documents, language.p2_segments, language.p2_statistics,
     duplicates.p3_found, duplicates.p3_groups,
-    charforms.p4_found, charforms.p4_lines, charforms.p4_documents,
+    charforms.p4_found, charforms.p4_lines, charforms.p4_documents, charforms.p4_rows, charforms.p4_sources,
     repetition.p5_found, repetition.p5_shares,
     tokens.p6_found, tokens.p6_budget,
     mixture.p7_found, mixture.p7_quotas, mixture.p7_shards,

@@ -4,7 +4,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpuscraft.llm import charforms
+from corpuscraft.llm import charforms, registry
 
 
 def brute(text):
@@ -63,3 +63,11 @@ def test_wide_spellings_keep_every_line(spark):
     df = spark.createDataFrame(lines, "line_id bigint, text string")
     found = sorted(tuple(r) for r in charforms.alike_lines(df).collect())
     assert found == sorted({(min(i, j), max(i, j)) for i, a in lines for j, b in lines if i != j and a != b and "The same" not in (a, b)})
+
+
+def test_every_document_and_stream_row_has_its_form(spark, tmp_path):
+    texts = [*enumerate(CASES), (500, None), (501, ""), (3, CASES[3])]
+    for name, key, query in (("documents", "doc_id", "p4_documents"), ("stream_rows", "row_id", "p4_rows")):
+        spark.createDataFrame(texts, f"{key} bigint, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        found = [tuple(r) for r in registry.queries()[query](spark, str(tmp_path)).collect()]
+        assert sorted(found) == sorted((k, None if t is None else brute(t), None if t is None else brute(t) != t) for k, t in dict(texts).items())
