@@ -235,8 +235,9 @@ def vocab_assembly(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def bpe_train_driver(spark: SparkSession, folder: str) -> DataFrame:
-    """2,000 merges by the driver loop over words that occur 5 times or more, after a distributed count."""
-    counted = wordcount.word_counts(_docs(spark, folder), least=5).orderBy(F.desc("freq"), "word").limit(200_000)
+    """2,000 merges by the driver loop over all words that occur 5 times or more, after a distributed count; more words than
+    ``spark.driver.maxResultSize`` lets through are an error of Spark's, never a shorter list."""
+    counted = wordcount.word_counts(_docs(spark, folder), least=5)
     found = bpe_train.train_on_driver([(r.word, r.freq) for r in counted.collect()], 2000, 2)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "merge_rank int, left string, right string, freq bigint")
 

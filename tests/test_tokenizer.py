@@ -128,3 +128,13 @@ def test_tokenizer_file(spark, tmp_path):
     assert tokenizer_file.special_id({"x": 3}, "x") == 3 and tokenizer_file.special_id({}, None) is None
     with pytest.raises(KeyError):
         tokenizer_file.special_id({}, "x")
+
+
+def test_driver_training_takes_every_counted_word(spark, tmp_path):
+    from corpuscraft.plans import catalogue
+
+    common, late = [f"{k:05x}" for k in range(200_000)], [f"zq{k}" for k in range(3000)]
+    texts = [*[" ".join(common)] * 6, *[" ".join(late)] * 5]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.left, r.right): r.freq for r in catalogue.bpe_train_driver(spark, str(tmp_path)).collect()}
+    assert found["z", "q"] == 15_000
