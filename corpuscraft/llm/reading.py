@@ -108,6 +108,22 @@ def features(texts: list[str | None], scores: np.ndarray | list[np.ndarray], bat
     return out
 
 
+class HeldOut:
+    """Per fold of sources the scores, trees and calibration that were made without it. A source that no fold holds takes
+    those of the first. With labels of one fold alone nothing is held out."""
+
+    def __init__(self, fold: dict[str, int], scores: list[np.ndarray], trees: dict[int, Boosted], calibrated: dict[int, Isotonic]) -> None:
+        self.fold, self.scores, self.trees, self.calibrated = fold, scores, trees, calibrated
+
+    def __call__(self, texts: list[str | None], source: list[str], batch: LetterBatch) -> np.ndarray:
+        fold = np.array([self.fold.get(s, 0) for s in source], dtype=np.int64)
+        x = features(texts, self.scores, batch, fold)
+        out = np.zeros(len(texts))
+        for k in np.unique(fold):
+            out[fold == k] = self.calibrated[k](self.trees[k].predict(x[fold == k]))
+        return out
+
+
 class Level:
     """A fitted model with its held-out predictions (``held``), labels and folds."""
 
@@ -120,22 +136,33 @@ class Level:
         apart = [vocabulary_scores(slot[self.fold[owner] != k], owner[self.fold[owner] != k], level) for k in range(FOLDS)]
         x = features(list(texts), apart, batch, self.fold)
         self.held = np.zeros(len(texts))
+        trees = {}
         for k in range(FOLDS):
             mine = self.fold == k
             if mine.any():
-                self.held[mine] = (Boosted().fit(x[~mine], level[~mine]) if (~mine).any() else Boosted().fit(x, level)).predict(x[mine])
+                trees[k] = Boosted().fit(x[~mine], level[~mine]) if (~mine).any() else Boosted().fit(x, level)
+                self.held[mine] = trees[k].predict(x[mine])
+        others = {k: self.fold != k if (self.fold != k).any() else self.fold == k for k in trees}
+        self.cross = HeldOut({s: k % FOLDS for k, s in enumerate(names)}, apart, trees, {k: Isotonic(self.held[o], level[o]) for k, o in others.items()})
         self.calibrated = Isotonic(self.held, level)
         self.scores = vocabulary_scores(slot, owner, level).astype(np.float32)
         self.trees = Boosted().fit(x, level)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "cross"}  # what predicts is broadcast, not the models of the folds
+
     def __call__(self, texts: list[str | None], batch: LetterBatch) -> np.ndarray:
         return self.calibrated(self.trees.predict(features(texts, self.scores, batch)))
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """``doc_id, level``: the median of a document's raters."""
+    return labels.where("reading_level is not null and doc_id is not null").select("doc_id", "rater", "reading_level").distinct().groupBy("doc_id").agg(F.median("reading_level").alias("level"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Level | None:
     """A model from at most ``most`` labelled documents, chosen by hash of their id; None where none is labelled."""
-    level = labels.where("reading_level is not null and doc_id is not null").select("doc_id", "rater", "reading_level").distinct().groupBy("doc_id").agg(F.median("reading_level").alias("level"))
-    chosen = level.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    chosen = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", "text", "source").where("text is not null")
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "level").orderBy("doc_id").limit(2 * most).collect()
     rows = [r for r in rows if len(r.text) >= LEAST]
@@ -181,11 +208,30 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "source", "content_domain").join(levels, "doc_id").groupBy("source", "content_domain").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 4).alias("level"))
 
 
+def validation(docs: DataFrame, labels: DataFrame, model: Level) -> DataFrame:
+    """``source, documents, rmse`` over all labelled documents with ``LEAST`` letters or more, each scored by the model and
+    calibration of the folds that do not hold its source."""
+    spark = docs.sparkSession
+    prepare(spark)
+    shared = spark.sparkContext.broadcast(model.cross)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            source, wanted = got.column(1).to_pylist(), got.column(2).to_numpy()
+            for first, part in rounds(got.column(0).to_pylist()):
+                batch = LetterBatch(part)
+                of = source[first : first + len(part)]
+                error = (shared.value(part, of, batch) - wanted[first : first + len(part)]) ** 2
+                ok = np.nonzero(batch.size >= LEAST)[0]
+                yield pa.RecordBatch.from_arrays([pa.array([of[k] for k in ok], pa.string()), pa.array(error[ok])], names=["source", "error"])
+
+    rows = docs.where("text is not null").join(labelled(labels), "doc_id").select("text", F.coalesce("source", F.lit("")).alias("source"), F.col("level").cast("double").alias("level"))
+    return rows.mapInArrow(run, "source string, error double").groupBy("source").agg(F.count("*").alias("documents"), F.sqrt(F.avg("error")).alias("rmse"))
+
+
 def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-validation by source: labelled documents and the root mean squared error of calibrated held-out predictions."""
     model = _fit(spark, folder)
     if model is None:
         return spark.createDataFrame([], "source string, documents bigint, rmse double")
-    error = (model.calibrated(model.held) - model.level) ** 2
-    rows = [(str(s), int((model.source == s).sum()), float(np.sqrt(error[model.source == s].mean()))) for s in sorted(set(model.source))]
-    return spark.createDataFrame(rows, "source string, documents bigint, rmse double")
+    return validation(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), model)

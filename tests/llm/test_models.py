@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -6,6 +7,8 @@ import pandas as pd
 from corpuscraft.llm import language, reading
 from corpuscraft.llm.boosting import Boosted, Isotonic
 
+from .test_letters import plain
+
 FOLDER = "/root/testdata/sf0.01"
 
 
@@ -106,3 +109,21 @@ def test_reading_levels_held_out(spark):
     got = {r.doc_id: r.level for r in reading.reading_levels(few, model).collect()}
     assert set(got) == {1, 5} and got[1] < 2.5
     assert isinstance(pd.Series(list(got.values())).mean(), float)
+
+
+def test_validation_covers_every_labelled_document(spark, monkeypatch):
+    folder, fit = "/root/testdata/sf0.01", reading.fit
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/reading_labels.parquet")
+    monkeypatch.setattr(reading, "fit", lambda d, l: fit(d, l, 50))
+    got = {r.source: r for r in reading.p10_validation(spark, folder).collect()}
+    rated = docs.join(labels.where("reading_level is not null").select("doc_id").distinct(), "doc_id").where("text is not null").collect()
+    want = Counter(r.source or "" for r in rated if len(plain(r.text)) >= reading.LEAST)
+    assert {s: r.documents for s, r in got.items()} == dict(want) and sum(want.values()) > 60
+    model = fit(docs, labels)
+    rows = docs.join(reading.labelled(labels), "doc_id").where("text is not null").orderBy("doc_id").collect()
+    rows = [r for r in rows if len(r.text) >= reading.LEAST]
+    texts = [r.text for r in rows]
+    level = model.cross(texts, [r.source or "" for r in rows], reading.LetterBatch(texts))
+    for k in set(model.fold):
+        mine = model.fold == k
+        assert np.allclose(level[mine], reading.Isotonic(model.held[~mine], model.level[~mine])(model.held[mine]))
