@@ -186,8 +186,8 @@ def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents the votes do not clear (posterior of a thousandth or more), then the exact share."""
-    return repetition(table(spark, folder, "documents")).where((F.col("posterior") >= 0.001) & (F.col("share") >= SHARE)).select("doc_id")
+    """Documents with the exact share; the votes have no part in it."""
+    return measures(table(spark, folder, "documents")).where(F.col("share") >= SHARE).select("doc_id")
 
 
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -63,3 +63,11 @@ def test_operator(spark):
     assert all(abs(got[k].share - covered(x, 40) / max(1, len(plain(x)))) < 1e-9 for k, x in enumerate(t))
     assert got[3].posterior > 0.5 and got[4].posterior > 0.5 and got[0].share == 0 and got[0].posterior < 0.5
     assert repetition.repetition(df.limit(0)).count() == 0
+
+
+def test_found_is_the_exact_share(spark, tmp_path, monkeypatch):
+    t = texts()
+    spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(repetition, "fit_votes", lambda patterns, *_: np.zeros(len(patterns)))
+    found = {r.doc_id for r in repetition.p5_found(spark, str(tmp_path)).collect()}
+    assert found == {k for k, x in enumerate(t) if covered(x, 40) >= repetition.SHARE * max(1, len(plain(x)))} and found
