@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import scratch
+
+RANGE_ROWS = 1_000_000  # rows of a range when running totals are taken
+
 
 def emitted(docs: DataFrame, least: int, most: int, text: str = "text") -> DataFrame:
     """Rows whose text has ``least`` code points or more, cut to ``most`` (0: uncut). Null and empty texts go."""
@@ -46,21 +50,25 @@ def json_text(line: Column, field: str = "text") -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json(line), f"$.{field}", "string"))
 
 
-def ordinal(rows: DataFrame, order: str, name: str, count: Column | None = None, ranges: int = 64) -> DataFrame:
-    """Adds the running total of ``count`` (1: the row number) before each row, in the order of a unique column.
+def ordinal(rows: DataFrame, order: str, name: str, count: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the running total of ``count`` (1: the row number) before each row, in the order of a unique column; within each
+    group of ``by`` where that is given.
 
-    Rows are cut into ranges of the order column by approximate quantiles; ranges are summed (a few rows), and the
-    running total is taken inside each range, so no task sees more than a range.
+    Rows are cut into ranges of the order column, one for about ``RANGE_ROWS`` rows, and written with their range. Ranges are
+    summed, and the running total is taken inside each, so no task sees more than a range, however large a group is.
     """
     value = F.lit(1) if count is None else count
-    edges = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
-    if edges:
-        bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(order)))
+    cut = scratch(rows.withColumn("_value", value.cast("bigint")), "ordered")
+    ranges = max(1, -(-cut.count() // RANGE_ROWS))
+    if ranges > 1:
+        cut = scratch(cut.repartitionByRange(ranges, order).withColumn("_bucket", F.spark_partition_id()), "ranges")
+    else:
+        cut = cut.withColumn("_bucket", F.lit(0))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if ranges > 1:
+        along = Window.partitionBy(*(by or (F.lit(0),))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        totals = cut.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))  # a row for a range (and group)
+        cut = cut.join(totals.select(*by, "_bucket", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base")), [*by, "_bucket"])
     else:
-        bucket = F.lit(0)
-    cut = rows.withColumn("_bucket", bucket).withColumn("_value", value.cast("bigint"))
-    totals = cut.groupBy("_bucket").agg(F.sum("_value").alias("_sum"))
-    along = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_bucket", F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_base"))  # at most ``ranges`` rows
-    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(F.broadcast(base), "_bucket").withColumn(name, F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_bucket", "_value", "_base")
+        cut = cut.withColumn("_base", F.lit(0).cast("bigint"))
+    return cut.withColumn(name, F.col("_base") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).drop("_bucket", "_value", "_base")

@@ -65,13 +65,17 @@ def test_json_guard(spark):
     assert got == ["aé", None, None, None, None, None, None, None, None, "😀", "true"]
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 64])
-def test_ordinal(spark, ranges):
-    df = spark.createDataFrame([(k * 7 % 101, k % 5) for k in range(101)], "k bigint, n bigint")
-    got = sorted((r.k, r.row, r.before) for r in corpus.ordinal(corpus.ordinal(df, "k", "row", ranges=ranges), "k", "before", F.col("n"), ranges).collect())
-    n = dict(df.collect())
+@pytest.mark.parametrize("most", [1000, 40, 2])
+def test_ordinal(spark, most, monkeypatch):
+    monkeypatch.setattr(corpus, "RANGE_ROWS", most)
+    df = spark.createDataFrame([(k * 7 % 101, k % 5, k % 3) for k in range(101)], "k bigint, n bigint, g int")
+    got = sorted((r.k, r.row, r.before) for r in corpus.ordinal(corpus.ordinal(df, "k", "row"), "k", "before", F.col("n")).collect())
+    n = {r.k: r.n for r in df.collect()}
     assert [(k, row) for k, row, _ in got] == [(k, k) for k in range(101)]
     assert all(b == sum(n[j] for j in range(k)) for k, _, b in got)
+    group = {r.k: r.g for r in df.collect()}
+    for r in corpus.ordinal(df, "k", "before", F.col("n"), by=("g",)).collect():
+        assert r.before == sum(n[j] for j in range(r.k) if group[j] == r.g)
     assert corpus.ordinal(df.limit(0), "k", "row").count() == 0
 
 
