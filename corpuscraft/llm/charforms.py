@@ -38,7 +38,6 @@ LOOKALIKES = {
 }
 
 MARK = r"\p{M}"
-EXPAND: int | None = None  # lines of one text beyond which only the least id takes part; None: all take part
 BLOCK_LINES = 256  # lines in a block when pairs are written out
 
 _COMPAT = [(0x2000, 0x200A), (0x2E80, 0x2FD5), (0xFB00, 0xFB06), (0xFF00, 0xFFEF), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0xF900, 0xFAFF)]
@@ -154,15 +153,12 @@ def alike_lines(lines: DataFrame, key: str = "line_id", text: str = "text", one:
     """All pairs of ids, smaller first, of non-blank texts that have one form but not the same characters.
 
     Lines with the same characters form one spelling, taken in blocks of about ``BLOCK_LINES``; the pairs of blocks of two
-    spellings of one form are spread over tasks (``pairing``). Only where ``EXPAND`` is set, which no query does, a
-    spelling of more lines takes part with its least id alone.
+    spellings of one form are spread over tasks (``pairing``).
     """
     forms = scratch(consistent_form(lines, key, text).where("form <> ''"), "forms")
-    variants = forms.groupBy("form", text).agg(F.count("*").alias("members"), F.min(key).alias("least"))
+    variants = forms.groupBy("form", text).agg(F.count("*").alias("members"))
     several = variants.groupBy("form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("form")
     mixed = forms.join(several, "form", "left_semi").join(variants, ["form", text])
-    if EXPAND is not None:
-        mixed = mixed.where((F.col("members") <= EXPAND) | (F.col(key) == F.col("least")))
     parts = scratch(blocks(mixed.select(F.col("form").alias("class"), F.col(text).alias("side"), F.col(key).alias("id"), "members"), BLOCK_LINES), "alike")
     other = parts.select("class", F.col("side").alias("u"), F.col("loose").alias("v"), F.col("ids").alias("y"))
     met = parts.join(other, "class").where("side < u").select(F.col("ids").alias("x"), "y", F.expr("loose or v").alias("loose"), F.lit(False).alias("same"))

@@ -256,8 +256,9 @@ def overlap(one: list[str], two: list[str], width: int = WIDTH) -> tuple[np.ndar
     return sizes[0], sizes[1], np.bincount(owners[0][both], minlength=n)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
-    """``a, b, n_a, n_b, n_both`` of the pairs whose exact resemblance on whole texts is ``threshold`` or more.
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH, contained: float = 2.0) -> DataFrame:
+    """``a, b, n_a, n_b, n_both`` of the pairs whose exact resemblance on whole texts is ``threshold`` or more, or of
+    whose smaller text ``contained`` or more stands in the other.
 
     ``texts`` has ``id, text``; an id that occurs again has the same letters. Only texts that
     are in a pair leave the scan's exchange.
@@ -276,7 +277,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
             for first, part in rounds(x + y for x, y in zip(one, two, strict=True)):
                 s = slice(first, first + len(part))
                 na, nb, nab = overlap(one[s], two[s], width)
-                ok = nab >= threshold * (na + nb - nab) - 1e-9
+                ok = (nab >= threshold * (na + nb - nab) - 1e-9) | (nab >= contained * np.minimum(na, nb) - 1e-9) & (nab > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a[s], b[s], na, nb, nab)], names=["a", "b", "n_a", "n_b", "n_both"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, n_both bigint")

@@ -15,7 +15,7 @@ _QUERIES = (
     charforms.p4_found, charforms.p4_lines, charforms.p4_documents, charforms.p4_rows, charforms.p4_sources,
     repetition.p5_found, repetition.p5_shares,
     tokens.p6_found, tokens.p6_budget,
-    mixture.p7_found, mixture.p7_quotas, mixture.p7_shards,
+    mixture.p7_found, mixture.p7_quotas, mixture.p7_shards, mixture.p7_records, mixture.p7_reached,
     tokens.p8_found, tokens.p8_fill,
     leaks.p9_found, leaks.p9_report,
     reading.p10_found, reading.p10_levels, reading.p10_validation,
@@ -32,5 +32,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_budget": tokens.P6_BUDGET_SQL,
         "p7_found": mixture.P7_FOUND_SQL,
         "p7_quotas": mixture.P7_QUOTAS_SQL,
+        "p7_shards": mixture.P7_SHARDS_SQL,
+        "p7_records": mixture.P7_RECORDS_SQL,
+        "p7_reached": mixture.P7_REACHED_SQL,
         "p8_found": tokens.P8_FOUND_SQL,
     }

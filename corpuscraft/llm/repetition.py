@@ -26,6 +26,7 @@ from .letters import LetterBatch, mix, rounds
 LONG = 40
 LONG_CJK = 16
 SHARE = 0.3
+POSTERIOR = 0.5
 _U = np.uint64
 
 #: rule -> (measure, repetitive from, clean up to); between the two it abstains.
@@ -138,14 +139,12 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, "doc_id bigint, letters bigint, " + ", ".join([*(f"{m} double" for m in MEASURES), *(f"{f} boolean" for f in FEW)]))
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, anchor: int | None = None, steps: int = 100) -> np.ndarray:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, steps: int = 100) -> np.ndarray:
     """Posterior probability of the positive class for each vote pattern (1, 0, or -1 for an abstention).
 
     Two-class expectation-maximisation with a rate of positive votes per rule and class,
     started from the share of positive votes and smoothed by one vote each way. Estimates are bounded: a rule misses
-    at least a twentieth of its class, and the class has at least a thousandth of the rows. The ``anchor`` rule is not
-    estimated freely, for it measures what the class is: it errs in one of a hundred positive rows and of a million
-    others, so whatever the other rules say, a row for which it votes keeps a posterior above a thousandth.
+    at least a twentieth of its class, and the class has at least a thousandth of the rows.
     """
     cast, yes = patterns >= 0, patterns == 1
     votes = cast.sum(axis=1)
@@ -156,8 +155,6 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, anchor: int | None = Non
         r1 = np.clip((w1 @ yes + 0.9) / (w1 @ cast + 1), 1e-4, 0.95)
         r0 = np.clip((w0 @ yes + 0.1) / (w0 @ cast + 1), 1e-4, 1 - 1e-4)
         r1 = np.maximum(r1, r0)  # a rule is never taken as better reversed
-        if anchor is not None:
-            r1[anchor], r0[anchor] = max(r1[anchor], 0.99), 1e-6
         l1 = np.log(prior) + (cast * np.where(yes, np.log(r1), np.log1p(-r1))).sum(axis=1)
         l0 = np.log1p(-prior) + (cast * np.where(yes, np.log(r0), np.log1p(-r0))).sum(axis=1)
         new = 1 / (1 + np.exp(np.clip(l0 - l1, -500, 500)))
@@ -180,14 +177,19 @@ def repetition(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     seen = known.groupBy(*rules).count().collect()  # at most 3**5 rows
     if not seen:
         return known.drop(*rules, *FEW).withColumn("posterior", F.lit(0.0))
-    posterior = fit_votes(np.array([[r[v] for v in rules] for r in seen]), np.array([r["count"] for r in seen], dtype=float), rules.index("v_long"))
+    posterior = fit_votes(np.array([[r[v] for v in rules] for r in seen]), np.array([r["count"] for r in seen], dtype=float))
     model = spark.createDataFrame([(*(int(r[v]) for v in rules), float(p)) for r, p in zip(seen, posterior, strict=True)], ", ".join(f"{v} int" for v in rules) + ", posterior double")
     return known.join(F.broadcast(model), rules).drop(*rules, *FEW)
 
 
+def repetitive(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` of the documents that the votes call repetitive (a posterior of ``POSTERIOR`` or more) and whose exact share
+    confirms it (``SHARE`` or more)."""
+    return repetition(docs, key, text).where((F.col("posterior") >= POSTERIOR) & (F.col("share") >= SHARE)).select("doc_id")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents with the exact share; the votes have no part in it."""
-    return measures(table(spark, folder, "documents")).where(F.col("share") >= SHARE).select("doc_id")
+    return repetitive(table(spark, folder, "documents"))
 
 
 def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
