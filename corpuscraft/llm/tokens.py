@@ -4,8 +4,9 @@ Whole documents are hashed (128 bits) and copies collapse before anything is tok
 partial aggregation keeps one text a hash on each side of the exchange, so a hot group
 of copies never travels. Each distinct text is tokenized once, by byte-level BPE over
 the pieces of the whitespace pre-tokenizer; a task remembers the token counts of short
-pieces, which recur. Counts are joined back to all rows by hash and summed with their
-multiplicities.
+pieces, which recur. How often each text occurs in a group of rows (a shard; a source,
+language and domain) is counted, so a text that a third of all rows hold is one row a group
+where the token counts are joined to these multiplicities by hash and summed.
 
 Defined results: a null text has null tokens, an empty one none; labels that name no
 language count as ``und``, null sources and domains as null groups.
@@ -19,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.bpe_encode import Model, counter, load_model
+from ..operators.bpe_encode import Model, count_documents, counter, load_model
 from ..plans.catalogue import DOC_TOKENS_CTE, WHITE_SQL
 from ..session import prepare, scratch, table
 
-def token_counts(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns, ``doc_id, blank, tokens`` of every row; each distinct text is tokenized once."""
+def token_counts(docs: DataFrame, model: Model, by: dict[str, Column], text: str = "text") -> DataFrame:
+    """The columns ``by``, ``documents`` (rows with one text), ``tokens`` and ``blank`` of that text: a row for each distinct text in
+    a group. Each distinct text is tokenized once. Null texts, which have no tokens, are one row a group."""
     prepare(docs.sparkSession)
     t = docs[text]
-    marked = docs.select(*[docs[c] for c in keep if c != key], docs[key].cast("bigint").alias("doc_id"), t.alias("_text"), F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2"))
+    marked = docs.select(*[c.alias(n) for n, c in by.items()], t.alias("_text"), F.xxhash64(t).alias("_h1"), F.xxhash64(F.lit(1), t).alias("_h2"))
     distinct = marked.where("_text is not null").groupBy("_h1", "_h2").agg(F.first("_text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,10 +41,9 @@ def token_counts(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
             )
 
     counted = distinct.mapInArrow(run, "_h1 bigint, _h2 bigint, tokens bigint, blank boolean")
-    rows = marked.withColumn("_none", F.col("_text").isNull()).drop("_text")
-    # null texts get no count; the salt keeps their one hash from being one join key
-    salted = rows.withColumn("_h2", F.when(F.col("_none"), F.col("doc_id")).otherwise(F.col("_h2")))
-    return salted.join(counted, ["_h1", "_h2"], "left").withColumn("blank", F.coalesce("blank", F.lit(True))).drop("_h1", "_h2", "_none")
+    many = marked.withColumn("_none", F.col("_text").isNull()).groupBy(*by, "_h1", "_h2", "_none").agg(F.count("*").alias("documents"))
+    known = many.where("not _none").join(counted, ["_h1", "_h2"]).select(*by, "documents", "tokens", "blank")
+    return known.union(many.where("_none").select(*by, "documents", F.lit(None).cast("bigint"), F.lit(True)))
 
 
 def label_language(label: Column, codes: DataFrame) -> Column:
@@ -66,15 +67,16 @@ def latest(rows: DataFrame, key: str, stamp: str) -> DataFrame:
 
 def token_budget(docs: DataFrame, model: Model, codes: DataFrame) -> DataFrame:
     """``source, language, content_domain, documents, tokens``; nulls of a group stay null."""
-    counted = token_counts(docs, model, keep=("source", "lang", "content_domain"))
-    language = F.coalesce(label_language(F.col("lang"), codes), F.lit("und"))
-    return counted.groupBy("source", language.alias("language"), "content_domain").agg(F.count("*").alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    language = F.coalesce(label_language(docs["lang"], codes), F.lit("und"))
+    counted = token_counts(docs, model, {"source": docs["source"], "language": language, "content_domain": docs["content_domain"]})
+    return counted.groupBy("source", "language", "content_domain").agg(F.sum("documents").alias("documents"), F.coalesce(F.sum(F.col("documents") * F.col("tokens")), F.lit(0)).alias("tokens"))
 
 
 def shard_audit(docs: DataFrame, model: Model, shards: DataFrame) -> DataFrame:
     """``shard_id, num_tokens, counted, wrong``: the valid count of a shard against the tokens of its documents, with
     one end token for each that is not null or blank; wrong if null or off by more than a tenth."""
-    own = token_counts(docs, model, keep=("shard_id",)).where("shard_id is not null").groupBy("shard_id").agg(F.sum(F.when(F.col("blank"), 0).otherwise(F.col("tokens") + 1)).alias("counted"))
+    own = token_counts(docs.where(docs["shard_id"].isNotNull()), model, {"shard_id": docs["shard_id"]})
+    own = own.groupBy("shard_id").agg(F.sum(F.when(F.col("blank"), 0).otherwise(F.col("documents") * (F.col("tokens") + 1))).alias("counted"))
     valid = latest(shards.select("shard_id", "num_tokens", "written_at"), "shard_id", "written_at")
     both = valid.join(own, "shard_id", "left").withColumn("counted", F.coalesce("counted", F.lit(0)))
     wrong = F.col("num_tokens").isNull() | (10 * F.abs(F.col("num_tokens") - F.col("counted")) > F.col("counted"))
@@ -174,9 +176,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, most: int = OPEN_BINS) -> D
 
 
 def packed_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``pack`` of the documents by their tokens; rows with the same id are packed as items of their own."""
-    sizes = scratch(token_counts(docs, model).select("doc_id", F.col("tokens").alias("size")), "sizes")
-    return pack(sizes)
+    """``pack`` of the documents by their tokens, counted where the documents are read; rows with the same id are packed as items of
+    their own."""
+    return pack(scratch(count_documents(docs, model).select("doc_id", F.col("n_tokens").alias("size")), "sizes"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

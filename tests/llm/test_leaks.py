@@ -31,6 +31,53 @@ def test_planted_passages(spark, monkeypatch):
     assert leaks.leaked_items(df, it.limit(0)).count() == 0
 
 
+def edited(rng, text, share):
+    """About ``share`` of the letters replaced, left out or doubled, at random places."""
+    out = []
+    for c in text:
+        if c != " " and rng.random() < share:
+            out.append(rng.choice([rng.choice("abcdefghijklmnop"), "", c + rng.choice("abcdefghijklmnop")]))
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def recall(share, part, size=160, count=300, seed=12):
+    """Share of the items found whose passage of ``part`` of the letters has edits in ``share`` of them."""
+    from corpuscraft.llm.letters import LetterBatch
+
+    rng = random.Random(seed)
+    items = [words(rng, size // 5)[:size] for _ in range(count)]
+    docs = [words(rng, 60) + " " + edited(rng, t[: int(len(t) * part)], share) + " " + words(rng, 60) for t in items]
+    index, batch = leaks._Index(tuple(range(count)), tuple(items)), LetterBatch(docs)
+    doc, item, diagonal = leaks.bands(index, batch)
+    own = index.items.size[item]
+    span, score = leaks.aligned_span(index.items.points, index.items.start[item], own, batch.points, batch.start[doc], batch.size[doc], diagonal)
+    ok = (2 * span >= own) & (score >= (1 - 3 * leaks.MOST_EDITS) * span)
+    found = set(zip(doc[ok].tolist(), item[ok].tolist(), strict=True))
+    assert all(d == i for d, i in found)
+    return len(found) / count
+
+
+def test_recall_up_to_the_budget():
+    for share in (0.02, leaks.EDITS, 0.1):
+        assert recall(share, 0.6) >= 0.9
+    assert recall(leaks.MOST_EDITS - 0.03, 0.8) >= 0.9
+    assert recall(0.0, 0.52) == 1.0 and recall(0.0, 0.4) == 0.0
+
+
+def test_hits_by_parts(monkeypatch):
+    from corpuscraft.llm.letters import LetterBatch
+
+    rng = random.Random(1)
+    items = [words(rng, 30) for _ in range(5)]
+    docs = [words(rng, 20) + items[k % 5] + words(rng, 5) + items[(k + 1) % 5] for k in range(12)]
+    index, batch = leaks._Index(tuple(range(5)), tuple(items)), LetterBatch(docs)
+    whole = sorted(zip(*(x.tolist() for x in leaks.bands(index, batch)), strict=True))
+    monkeypatch.setattr(leaks, "MOST_HITS", 50)
+    assert sorted(zip(*(x.tolist() for x in leaks.bands(index, batch)), strict=True)) == whole and whole
+
+
 def slow_align(a, b):
     best = (0, 0)
     cell = {}

@@ -43,7 +43,7 @@ def test_counts_and_audit(spark):
     rows = [(k, t, 1 if k < 4 else 2 if k < 7 else None, "zh" if k % 2 else "junk", "s", None, -1) for k, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, shard_id bigint, lang string, source string, content_domain string, tokens int")
     want = [None if t is None else slow_count(model, t) for t in texts]
-    got = {r.doc_id: r for r in tokens.token_counts(docs, model, keep=("source",)).collect()}
+    got = {r.doc_id: r for r in tokens.token_counts(docs, model, {"doc_id": docs["doc_id"]}).collect()}
     assert [got[k].tokens for k in range(len(texts))] == want
     assert [got[k].blank for k in range(4)] == [True, True, True, False]
     codes = spark.createDataFrame([("ZH ", "zh"), ("English", "en")], "alias string, lang string")
@@ -55,7 +55,7 @@ def test_counts_and_audit(spark):
     audit = {r.shard_id: r for r in tokens.shard_audit(docs, model, table).collect()}
     assert (audit[1].counted, audit[2].counted) == tuple(true)
     assert {k for k, r in audit.items() if r.wrong} == {2, 3}
-    assert tokens.token_counts(docs.limit(0), model).count() == 0
+    assert tokens.token_counts(docs.limit(0), model, {"source": docs["source"]}).count() == 0
 
 
 def brute_pack(sizes, capacity, most):
