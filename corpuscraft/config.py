@@ -27,6 +27,7 @@ class Settings:
     seq_len: int = 2048
     val_ratio: float = 0.01
     seed: int = 42
+    max_sequences: int = 0
     out: str = ""
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import math
+import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,3 +65,33 @@ def checkpoint_catalog(paths: DataFrame, most: int) -> DataFrame:
     once = paths.withColumn("_n", first).where("_n = 1").withColumn("iter_num", iteration(F.col("name")))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.coalesce("iter_num", F.lit(10**18)), "name"))
     return once.withColumn("place", place).where(F.col("place") <= most).select("name", "real_path", "iter_num", "place")
+
+
+def running_best(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """Adds ``best``, the least value of a run so far, and ``improved``: whether the row is the first to reach it."""
+    along = Window.partitionBy(by).orderBy(order)
+    before = F.min(value).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("best", F.min(value).over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("improved", before.isNull() | (F.col(value) < before))
+
+
+def progress(done: Column, total: Column, seconds: Column) -> tuple[Column, Column, Column]:
+    """Per cent done, rate a second and remaining time as hh:mm:ss (``--:--:--`` without a rate)."""
+    rate = F.when(seconds > 0, done / seconds)
+    left = F.when(rate > 0, F.greatest(F.lit(0), total - done) / rate)
+    return F.when(total > 0, 100.0 * done / total).otherwise(0.0), F.coalesce(rate, F.lit(0.0)), duration(left)
+
+
+def tokens_per_iteration(micro: Column, length: Column, accumulate: Column, world: Column) -> Column:
+    return micro * length * accumulate * world
+
+
+def out_of_memory(message: Column) -> Column:
+    """Whether an error message tells that a device ran out of memory."""
+    return F.coalesce(F.lower(message).rlike("out of memory|oom|alloc.*fail|fail.*alloc"), F.lit(False))
+
+
+def checkpoint_files(spark: SparkSession, folder: str, pattern: str = "ckpt_*.pt", last: bool = True, most: int = 0) -> DataFrame:
+    """``name, real_path, iter_num, place`` of the checkpoints in a folder: one row for a real file, by number, unnumbered ones
+    last; ``last`` tells whether those named so count. A folder lists few files, so it is listed here."""
+    found = [(n, os.path.realpath(os.path.join(folder, n))) for n in sorted(os.listdir(folder)) if fnmatch.fnmatch(n, pattern) and (last or "last" not in n)]
+    return checkpoint_catalog(spark.createDataFrame(found, "name string, real_path string"), most or len(found) or 1)

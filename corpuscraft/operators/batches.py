@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shards import shuffled, windows
+from .shards import drawn, shuffled, windows
 
 
 def contiguous_batches(sequences: DataFrame, size: int) -> DataFrame:
@@ -15,20 +17,29 @@ def contiguous_batches(sequences: DataFrame, size: int) -> DataFrame:
 
 def random_starts(total: int, length: int, size: int, seed: int) -> list[int]:
     """``size`` sorted starts of windows of ``length + 1`` tokens, the same for one seed (with replacement)."""
-    import random
-
     last = total - length - 1
-    return sorted(random.Random(seed).randint(0, last) for _ in range(size)) if last >= 0 else []
+    draw = lambda k: int(hashlib.md5(f"{k}|{seed}".encode()).hexdigest()[:15], 16)
+    return sorted(draw(k) % (last + 1) for k in range(size)) if last >= 0 else []
 
 
-def random_batch(tokens: DataFrame, total: int, length: int, size: int, seed: int) -> DataFrame:
-    """``seq_id, x, y`` at seeded random starts over ``pos, id``; the starts, ``size`` rows, are broadcast to the tokens."""
+def random_batch(runs: DataFrame, total: int, length: int, size: int, seed: int) -> DataFrame:
+    """``seq_id, x, y`` at seeded random starts over runs of tokens (``start, ids``). The starts, ``size`` of them, go along as
+    literals; a run gives a slice to each window that it meets."""
     starts = random_starts(total, length, size, seed)
-    marks = tokens.sparkSession.createDataFrame(list(enumerate(starts)), "seq_id bigint, start bigint")
-    near = marks.withColumn("block", F.explode(F.sequence(F.expr(f"start div {length + 1}"), F.expr(f"(start + {length}) div {length + 1}"))))
-    met = tokens.withColumn("block", F.expr(f"pos div {length + 1}")).join(F.broadcast(near), "block").where((F.col("pos") >= F.col("start")) & (F.col("pos") <= F.col("start") + length))
-    w = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"])
-    return met.groupBy("seq_id").agg(w.alias("w")).select("seq_id", F.slice("w", 1, length).alias("x"), F.slice("w", 2, length).alias("y"))
+    if not starts:
+        return runs.sparkSession.createDataFrame([], "seq_id bigint, x array<int>, y array<int>")
+    end = F.col("start") + F.size("ids")
+
+    def part(m: Column) -> Column:
+        begin = F.greatest(F.col("start"), m["at"])
+        stop = F.least(end, m["at"] + length + 1)
+        return F.struct(m["seq_id"].alias("seq_id"), begin.alias("at"), F.slice("ids", (begin - F.col("start") + 1).cast("int"), (stop - begin).cast("int")).alias("part"))
+
+    marks = F.array(*[F.struct(F.lit(k).cast("bigint").alias("seq_id"), F.lit(at).cast("bigint").alias("at")) for k, at in enumerate(starts)])
+    near = F.filter(marks, lambda m: (m["at"] < end) & (m["at"] + length + 1 > F.col("start")))
+    cut = runs.where(F.size("ids") > 0).select(F.explode(F.transform(near, part)).alias("c")).select("c.*")
+    w = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda s: s["part"]))
+    return cut.groupBy("seq_id").agg(w.alias("w")).select("seq_id", F.slice("w", 1, length).alias("x"), F.slice("w", 2, length).alias("y"))
 
 
 def shard_windows(tokens: DataFrame, base: int, length: int, count: int) -> DataFrame:
@@ -46,7 +57,7 @@ def permuted(rows: DataFrame, key: str, seed: int) -> DataFrame:
 def epochs(rows: DataFrame, key: str, count: int, seed: int, rank: int = 0) -> DataFrame:
     """Every row once an epoch with its ``place`` in that epoch's own order (seed + epoch + rank)."""
     each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return each.withColumn("place", F.xxhash64(F.col(key), F.col("epoch") + F.lit(seed + rank)))
+    return each.withColumn("place", drawn(F.col(key), F.col("epoch") + F.lit(seed + rank)))
 
 
 def valid_texts(docs: DataFrame, least: int, wanted: int, text: str = "text") -> DataFrame:

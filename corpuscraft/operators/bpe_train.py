@@ -8,31 +8,49 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import BYTE_ALPHABET
+from ..functions.text import BYTE_ALPHABET, byte_level
+from ..session import scratch
 from .bpe_encode import merged_natively
 
+DRIVER_WORDS = 1_000_000  # distinct words up to which the driver merges
+KEEP = 16  # merges after which rewritten words are written
 
-def best_pair(counted: DataFrame, merges: list[tuple[str, str]]) -> tuple[str, str, int] | None:
-    """The most frequent adjacent pair after ``merges`` (ties: least left, then right); one row reaches the driver."""
-    symbols = F.split(F.regexp_replace("symbols", "^\x02|\x03$", ""), "\x03\x02")
-    rows = merged_natively(counted, merges=merges, word="raw").select(symbols.alias("s"), "freq").where(F.size("s") > 1)
+
+def best_pair(rows: DataFrame) -> tuple[str, str, int] | None:
+    """The most frequent adjacent pair of ``symbols, freq`` (ties: least left, then right); one row reaches the driver."""
+    s = F.split(F.regexp_replace("symbols", "^\x02|\x03$", ""), "\x03\x02")
+    rows = rows.select(s.alias("s"), "freq").where(F.size("s") > 1)
     pairs = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r"))
     best = rows.select(F.explode(pairs).alias("p"), "freq").groupBy("p.l", "p.r").agg(F.sum("freq").alias("n")).orderBy(F.desc("n"), "l", "r").first()
     return (best.l, best.r, best.n) if best else None
 
 
 def train_relational(counted: DataFrame, merges: int, least: int = 1) -> list[tuple[str, str, int]]:
-    """The first merges of ``raw, freq`` (words as text), each from one distributed aggregation; for short merge lists and
-    as the check of ``train_on_driver``."""
+    """Merges of ``raw, freq`` (words as text), each from one distributed aggregation over the words as they stand; nothing but
+    the best pair of each reaches the driver. Words rewritten by ``KEEP`` merges are written as a table."""
+    rows = merged_natively(counted, merges=[], word="raw").select("symbols", "freq")
     out: list[tuple[str, str, int]] = []
-    for _ in range(merges):
-        found = best_pair(counted, [(a, b) for a, b, _ in out])
+    while len(out) < merges:
+        found = best_pair(rows)
         if found is None or found[2] < max(1, least):
             break
         out.append(found)
+        a, b, _ = found
+        rows = rows.withColumn("symbols", F.replace("symbols", F.lit(f"\x02{a}\x03\x02{b}\x03"), F.lit(f"\x02{a}{b}\x03")))
+        if len(out) % KEEP == 0 and len(out) < merges:
+            rows = scratch(rows, "symbols")
     return out
 
 
+def train(counted: DataFrame, merges: int, least: int = 1) -> list[tuple[str, str, int]]:
+    """Merges of ``raw, freq``: by the driver's loop where there are at most ``DRIVER_WORDS`` words (about half a GB there), by
+    ``train_relational`` beyond; both give the same merges."""
+    counted = scratch(counted, "counted")
+    if counted.count() > DRIVER_WORDS:
+        return train_relational(counted, merges, least)
+    return train_on_driver([(r.word, r.freq) for r in counted.select(byte_level(F.col("raw")).alias("word"), "freq").toLocalIterator()], merges, least)
+
+
 def train_on_driver(words: list[tuple[str, int]], merges: int, least: int = 1) -> list[tuple[str, str, int]]:
     """Merges of counted byte-level words, with an inverted index from pairs to words and a lazy heap.
 

@@ -28,3 +28,9 @@ def reconciled(parts: DataFrame, shards: DataFrame) -> DataFrame:
     a = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("part_tokens"))
     b = shards.agg(F.coalesce(F.sum("num_tokens"), F.lit(0)).alias("shard_tokens"))
     return a.crossJoin(b).withColumn("agree", F.col("part_tokens") == F.col("shard_tokens"))  # one row each
+
+
+def part_totals(parts: DataFrame) -> DataFrame:
+    """One row: parts, documents, skipped documents and tokens over all parts, and how many parts were reused."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return parts.agg(F.count("*").alias("parts"), total("docs"), total("skipped"), total("tokens"), F.count_if("reused").alias("reused"))

@@ -14,7 +14,7 @@ from ..functions import metrics
 from ..functions.text import BYTE_ALPHABET, WHITE_RANGES, byte_level, byte_level_inverse, gpt2_pieces, pieces
 from ..operators import batches, bpe_encode, bpe_train, corpus, resume, shards, wordcount
 from ..session import scratch, shared_dir, table
-from ..sources.shard_files import read_shards, token_dtype, write_shards
+from ..sources.shard_files import listed_shards, read_manifest, read_shards, shard_files, token_dtype, write_manifest, write_shards
 from ..sources.tokenizer_file import special_tokens
 from ..streaming import counts as streaming
 
@@ -125,16 +125,20 @@ def pretokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).where("text is not null").select("doc_id", F.size(pieces(F.col("text"))).cast("bigint").alias("n_pieces"))
 
 
-def _gpt2_sql() -> str:
-    """The count without look-ahead: a run of white space before a word gives one piece more only if it is longer than one
-    and does not end in a blank."""
-    other = r"\x{9}-\x{D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-    white = rf"\x{{20}}{other}"
-    found = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{white}\p{{L}}\p{{N}}]+|[{white}]+"
-    return f"SELECT doc_id, (len(regexp_extract_all(text, '{found}')) + len(regexp_extract_all(text, '[{white}][{other}][^{white}]')))::BIGINT AS n_pieces FROM documents WHERE text IS NOT NULL"
+_BREAK = "\ufdd0"  # no character
 
 
-@query(_gpt2_sql())
+def _gpt2_pieces_sql() -> str:
+    """The pieces without look-ahead: a mark is set before the last white space ahead of a word; what is not matched falls out."""
+    white = r"\x{20}\x{9}-\x{D}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    found = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{white}\p{{L}}\p{{N}}{_BREAK}]+|[{white}]+"
+    return rf"regexp_extract_all(regexp_replace(text, '([{white}]*)([{white}])([^{white}])', '\1{_BREAK}\2\3', 'g'), '{found}')"
+
+
+_GPT2_PIECES = _gpt2_pieces_sql()
+
+
+@query(f"SELECT doc_id, len({_GPT2_PIECES})::BIGINT AS n_pieces FROM documents WHERE text IS NOT NULL")
 def pretokenize_gpt2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).where("text is not null").select("doc_id", F.size(gpt2_pieces(F.col("text"))).cast("bigint").alias("n_pieces"))
 
@@ -196,11 +200,11 @@ def pair_counts_topk(spark: SparkSession, folder: str) -> DataFrame:
 # --- BPE -------------------------------------------------------------------------------------------
 
 
-def _training_sql(merges: int) -> str:
+def _training_sql(merges: int, counted: str = _WORDS_SQL, least: int = 2) -> str:
     """Unrolled CTEs: w<k> are the words after k merges, m<k> the k-th merge. Symbols stand between chr(2) and chr(3)."""
     steps = [
-        f"{_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc), "
-        f"w0 AS MATERIALIZED (SELECT chr(2) || array_to_string([abc[('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 1] for i in range(strlen(raw))], chr(3) || chr(2)) || chr(3) AS s, freq FROM c, a WHERE freq >= 2)"
+        f"{counted}, a AS (SELECT {_ALPHABET} AS abc), "
+        f"w0 AS MATERIALIZED (SELECT chr(2) || array_to_string([abc[('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 1] for i in range(strlen(raw))], chr(3) || chr(2)) || chr(3) AS s, freq FROM c, a WHERE freq >= {least})"
     ]
     for k in range(merges):
         steps.append(
@@ -233,46 +237,56 @@ def vocab_assembly(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(bpe_train.assembled_vocabulary(merges, special_tokens(",".join(SPECIALS))))), "token_id int, token string")
 
 
+@query(_training_sql(MERGES, _WORDS_SQL.replace(_PIECES, _GPT2_PIECES), 1) + 'SELECT k::INT AS merge_rank, l AS "left", r AS "right", n AS freq FROM m')
+def gpt2_train_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The first merges over the pieces of the second pre-tokenizer; words count however rare, pairs from two on."""
+    counted = wordcount.words(_docs(spark, folder), mode="gpt2").groupBy(F.col("word").alias("raw")).agg(F.count("*").alias("freq"))
+    found = bpe_train.train(counted, MERGES, 2)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "merge_rank int, left string, right string, freq bigint")
+
+
 @query()
 def bpe_train_driver(spark: SparkSession, folder: str) -> DataFrame:
-    """2,000 merges by the driver loop over all words that occur 5 times or more, after a distributed count; more words than
-    ``spark.driver.maxResultSize`` lets through are an error of Spark's, never a shorter list."""
-    counted = wordcount.word_counts(_docs(spark, folder), least=5)
-    found = bpe_train.train_on_driver([(r.word, r.freq) for r in counted.collect()], 2000, 2)
+    """2,000 merges over all words that occur 5 times or more, after a distributed count; the driver merges up to
+    ``bpe_train.DRIVER_WORDS`` words, beyond that each merge is an aggregation."""
+    counted = wordcount.words(_docs(spark, folder)).groupBy(F.col("word").alias("raw")).agg(F.count("*").alias("freq")).where("freq >= 5")
+    found = bpe_train.train(counted, 2000, 2)
     return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "merge_rank int, left string, right string, freq bigint")
 
 
-def _encoded_sql() -> str:
-    """Symbols ``v`` of each distinct piece under the first merges of the table ``merges``, one replacement each."""
-    steps = [
-        f"{_WORDS_SQL}, a AS (SELECT {_ALPHABET} AS abc), g AS (SELECT list(left_token ORDER BY merge_rank) AS l, list(right_token ORDER BY merge_rank) AS r FROM merges WHERE merge_rank < {MERGES}), "
-        "e0 AS (SELECT raw, chr(2) || array_to_string([abc[('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 1] for i in range(strlen(raw))], chr(3) || chr(2)) || chr(3) AS s FROM c, a)"
-    ]
-    for k in range(1, MERGES + 1):
-        steps.append(f"e{k} AS (SELECT raw, replace(s, chr(2) || l[{k}] || chr(3) || chr(2) || r[{k}] || chr(3), chr(2) || l[{k}] || r[{k}] || chr(3)) AS s FROM e{k - 1}, g)")
-    return "WITH " + ",\n".join(steps) + f",\nsymbols AS (SELECT raw, string_split(trim(s, chr(2) || chr(3)), chr(3) || chr(2)) AS v FROM e{MERGES}),\nsplit AS (SELECT doc_id, {_PIECES} AS found FROM documents WHERE text IS NOT NULL),\nplaced AS (SELECT doc_id, unnest(found) AS raw, generate_subscripts(found, 1) AS pos FROM split)\n"
+def _ids_cte(found: str, merges: str = "merges", specials: bool = True) -> str:
+    """``doc_ids(doc_id, ids)``: merges in rank order fold over the delimited symbols of each distinct piece, whose ids are joined
+    back in order, between bos and eos."""
+    ends = ("list_concat(list_concat([1], ", "), [2])") if specials else ("", "")
+    return f"""split AS (SELECT doc_id, {found} AS found FROM documents WHERE text IS NOT NULL),
+c AS (SELECT DISTINCT raw FROM (SELECT unnest(found) AS raw FROM split)), a AS (SELECT {_ALPHABET} AS abc),
+g AS (SELECT list(chr(2) || left_token || chr(3) || chr(2) || right_token || chr(3) || chr(1) || chr(2) || left_token || right_token || chr(3) ORDER BY merge_rank) AS rules FROM {merges}),
+e0 AS (SELECT raw, chr(2) || array_to_string([abc[('0x' || substr(hex(raw), 2 * i + 1, 2))::INT + 1] for i in range(strlen(raw))], chr(3) || chr(2)) || chr(3) AS s FROM c, a),
+e AS (SELECT raw, list_reduce(list_concat([s], rules), lambda x, m: replace(x, split_part(m, chr(1), 1), split_part(m, chr(1), 2))) AS s FROM e0, g),
+symbols AS (SELECT raw, string_split(trim(s, chr(2) || chr(3)), chr(3) || chr(2)) AS v FROM e),
+coded AS (SELECT raw, list(token_id ORDER BY i) AS ids FROM (SELECT raw, unnest(v) AS token, generate_subscripts(v, 1) AS i FROM symbols) JOIN vocab USING (token) GROUP BY raw),
+placed AS (SELECT doc_id, unnest(found) AS raw, generate_subscripts(found, 1) AS pos FROM split),
+doc_ids AS (SELECT d.doc_id, {ends[0]}coalesce(flatten(list(ids ORDER BY pos) FILTER (ids IS NOT NULL)), []){ends[1]} AS ids
+  FROM split d LEFT JOIN placed p USING (doc_id) LEFT JOIN coded s ON p.raw = s.raw GROUP BY d.doc_id)"""
 
 
-@query(_encoded_sql() + "SELECT d.doc_id, coalesce(sum(len(v)), 0)::BIGINT AS n_tokens FROM split d LEFT JOIN placed p USING (doc_id) LEFT JOIN symbols s ON p.raw = s.raw GROUP BY d.doc_id")
+@query(f"WITH {_ids_cte(_PIECES, f'(SELECT * FROM merges WHERE merge_rank < {MERGES})', False)} SELECT doc_id, len(ids)::BIGINT AS n_tokens FROM doc_ids")
 def bpe_encode_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Token counts with a short merge list, all in the JVM: distinct pieces, one replacement a merge, joined back."""
-    merges = [(r.left_token, r.right_token) for r in table(spark, folder, "merges").where(F.col("merge_rank") < MERGES).orderBy("merge_rank").collect()]
-    docs = _docs(spark, folder).where("text is not null").select("doc_id", "text")
-    per = docs.select("doc_id", F.explode(pieces(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("k"))
-    sizes = bpe_encode.merged_natively(per.select("word").distinct(), merges).select("word", bpe_encode.n_symbols(F.col("symbols")).alias("n"))
-    by = per.join(sizes, "word").groupBy("doc_id").agg(F.sum(F.col("k") * F.col("n")).alias("n_tokens"))
-    return docs.select("doc_id").join(by, "doc_id", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
+    """Token counts under a short merge list."""
+    return bpe_encode.count_documents(_docs(spark, folder), bpe_encode.load_model(table(spark, folder, "vocab"), table(spark, folder, "merges"), MERGES))
 
 
-@query(
-    _encoded_sql()
-    + "SELECT d.doc_id, array_to_string(list_concat(list_concat([1], coalesce(flatten(list([t.token_id for t in ids] ORDER BY pos) FILTER (ids IS NOT NULL)), [])), [2]), ' ') AS ids\n"
-    "FROM split d LEFT JOIN placed p USING (doc_id) LEFT JOIN (SELECT raw, list({token_id: token_id} ORDER BY i) AS ids FROM (SELECT raw, unnest(v) AS token, generate_subscripts(v, 1) AS i FROM symbols) JOIN vocab USING (token) GROUP BY raw) s ON p.raw = s.raw GROUP BY d.doc_id"
-)
+@query(f"WITH {_ids_cte(_PIECES)} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM doc_ids")
 def bpe_encode_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Ids with bos and eos by the encoder over distinct pieces, under the same short merge list."""
-    model = bpe_encode.load_model(table(spark, folder, "vocab"), table(spark, folder, "merges"), MERGES)
-    return bpe_encode.encode_documents(_docs(spark, folder), model, 1, 2).select("doc_id", F.array_join("ids", " ").alias("ids"))
+    """Ids with bos and eos under the whole vocabulary and all merges."""
+    return _coded(spark, folder).select("doc_id", F.array_join("ids", " ").alias("ids"))
+
+
+@query(f"WITH {_ids_cte(_GPT2_PIECES)} SELECT doc_id, array_to_string(ids, ' ') AS ids FROM doc_ids")
+def gpt2_encode_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids with bos and eos over the pieces of the second pre-tokenizer; specials that stand in a text are tokens of their own."""
+    coded = bpe_encode.encode_documents(_docs(spark, folder), _model(spark, folder), 1, 2, mode="gpt2", added=SPECIALS)
+    return coded.select("doc_id", F.array_join("ids", " ").alias("ids"))
 
 
 #: Tokens of each document under all merges: merges in rank order fold over the delimited symbols of each distinct piece.
@@ -289,6 +303,10 @@ def _model(spark: SparkSession, folder: str) -> bpe_encode.Model:
     return bpe_encode.load_model(table(spark, folder, "vocab"), table(spark, folder, "merges"))
 
 
+def _coded(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe_encode.encode_documents(_docs(spark, folder), _model(spark, folder), 1, 2)
+
+
 @query(f"WITH {DOC_TOKENS_CTE} SELECT doc_id, n_tokens FROM doc_tokens")
 def encode_udf_full_vocab(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode.count_documents(_docs(spark, folder), _model(spark, folder))
@@ -302,7 +320,7 @@ def decode_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- token stream -----------------------------------------------------------------------------------
 
-# The stream's tokens are pieces, and a token's id is its length, so that SQL can follow.
+# Offsets and manifests are over the numbers of pieces, sequences and shard files over token ids.
 _SIZES_SQL = f"n AS (SELECT doc_id, len({_PIECES})::BIGINT AS n FROM documents WHERE text IS NOT NULL), o AS (SELECT doc_id, (sum(n) OVER (ORDER BY doc_id) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY doc_id))::BIGINT AS stop FROM n)"
 _PARTS_SQL = f"{_SIZES_SQL}, k AS (SELECT *, unnest(range(start // {SHARD}, (stop - 1) // {SHARD} + 1)) AS shard_id FROM o WHERE stop > start), s AS (SELECT shard_id::BIGINT AS shard_id, printf('train_%06d.bin', shard_id) AS file, sum(least(stop, (shard_id + 1) * {SHARD}) - greatest(start, shard_id * {SHARD}))::BIGINT AS num_tokens, count(*) AS docs FROM k GROUP BY shard_id)"
 
@@ -312,7 +330,7 @@ def _sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
-    return shards.offsets(scratch(_sizes(spark, folder), "sizes"))
+    return shards.offsets(_sizes(spark, folder))
 
 
 def _shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -341,67 +359,79 @@ def batch_allocation(spark: SparkSession, folder: str) -> DataFrame:
     return shards.allocate(_shards(spark, folder), LENGTH, 64).withColumn("weight", F.round("weight", 6))
 
 
-@query()
+@query(f"""WITH {_PARTS_SQL}, u AS (SELECT shard_id, num_tokens - {LENGTH} - 1 AS m, count(*) OVER () AS n, row_number() OVER (ORDER BY shard_id) AS rn FROM s WHERE num_tokens - {LENGTH} - 1 > 0),
+w AS (SELECT shard_id, m / sum(m) OVER () AS weight, (64 // n + CASE WHEN rn <= 64 % n THEN 1 ELSE 0 END)::BIGINT AS picks FROM u)
+SELECT shard_id, round(weight, 6)::DOUBLE AS weight, picks FROM w ORDER BY -ln((('0x' || substr(md5(shard_id || '|42'), 1, 15))::BIGINT % 4503599627370496 + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / weight, shard_id LIMIT 4""")
 def shard_sampling(spark: SparkSession, folder: str) -> DataFrame:
     """Seeded weighted sampling of shards without replacement; the limit is the size of the sample."""
-    return shards.weighted_sample(shards.allocate(_shards(spark, folder), LENGTH, 64), "weight", 4, 42)
-
-
-def _tokens(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    placed = scratch(_placed(spark, folder), "placed")
-    docs = _docs(spark, folder).where("text is not null").select("doc_id", F.transform(pieces(F.col("text")), lambda p: F.length(p).cast("bigint")).alias("ids"))
-    tokens = docs.join(placed, "doc_id").select("start", F.posexplode("ids").alias("at", "id")).select((F.col("start") + F.col("at")).alias("pos"), "id")
-    return tokens, placed.agg(F.max("stop")).first()[0] or 0
+    return shards.weighted_sample(shards.allocate(_shards(spark, folder), LENGTH, 64), "weight", 4, 42).withColumn("weight", F.round("weight", 6))
 
 
 def _sums(packed: DataFrame) -> DataFrame:
+    """Sums of the tokens of x and y, and one of x that tells their order."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return packed.select("seq_id", F.element_at("x", 1).alias("first"), total("x").alias("sum_x"), total("y").alias("sum_y"))
+    placed = F.transform("x", lambda v, i: v.cast("bigint") * (i + 1))
+    return packed.select("seq_id", F.element_at("x", 1).cast("bigint").alias("first"), total("x").alias("sum_x"), total("y").alias("sum_y"), total(placed).alias("placed_x"))
 
 
-def _windows_sql(stride: int) -> str:
-    return f"""
-WITH t AS (SELECT doc_id, unnest([length(p)::BIGINT for p in {_PIECES}]) AS id, unnest(range(len({_PIECES}))) AS k FROM documents WHERE text IS NOT NULL),
-p AS (SELECT (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS pos, id FROM t), n AS (SELECT count(*) AS total FROM p),
-q AS (SELECT unnest(range(0, CASE WHEN total > {LENGTH} THEN (total - {LENGTH + 1}) // {stride} + 1 ELSE 0 END)) AS seq_id FROM n)
-SELECT seq_id::BIGINT AS seq_id, max(id) FILTER (pos = seq_id * {stride}) AS "first", (sum(id) FILTER (pos < seq_id * {stride} + {LENGTH}))::BIGINT AS sum_x, (sum(id) FILTER (pos > seq_id * {stride}))::BIGINT AS sum_y
-FROM q JOIN p ON pos BETWEEN seq_id * {stride} AND seq_id * {stride} + {LENGTH} GROUP BY seq_id"""
+_STREAM_CTE = f"""{_ids_cte(_PIECES)},
+t AS (SELECT doc_id, unnest(ids)::BIGINT AS id, generate_subscripts(ids, 1) AS k FROM doc_ids),
+p AS (SELECT (row_number() OVER (ORDER BY doc_id, k) - 1)::BIGINT AS pos, id FROM t), n AS (SELECT count(*) AS total FROM p)"""
+
+
+def _sums_sql(starts: str) -> str:
+    """The sums of the windows that begin at ``q(seq_id, head)``."""
+    return f"""WITH {_STREAM_CTE},
+q AS ({starts})
+SELECT seq_id::BIGINT AS seq_id, max(id) FILTER (pos = q.head) AS "first", (sum(id) FILTER (pos < q.head + {LENGTH}))::BIGINT AS sum_x, (sum(id) FILTER (pos > q.head))::BIGINT AS sum_y,
+  (sum(id * (pos - q.head + 1)) FILTER (pos < q.head + {LENGTH}))::BIGINT AS placed_x
+FROM q JOIN p ON pos BETWEEN q.head AND q.head + {LENGTH} GROUP BY seq_id"""
+
+
+def _windows_sql(stride: int, most: str = "") -> str:
+    return _sums_sql(f"SELECT seq_id, seq_id * {stride} AS head FROM (SELECT unnest(range(0, CASE WHEN total > {LENGTH} THEN (total - {LENGTH + 1}) // {stride} + 1 ELSE 0 END)) AS seq_id FROM n) {most}")
 
 
 @query(_windows_sql(LENGTH))
 def pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    tokens, total = _tokens(spark, folder)
-    return _sums(shards.windows(tokens, LENGTH, LENGTH, total))
+    return _sums(shards.sequences(_coded(spark, folder), LENGTH, LENGTH))
 
 
 @query(_windows_sql(LENGTH + 1))
 def pack_stride_l1(spark: SparkSession, folder: str) -> DataFrame:
-    tokens, total = _tokens(spark, folder)
-    return _sums(shards.windows(tokens, LENGTH, LENGTH + 1, total))
+    return _sums(shards.sequences(_coded(spark, folder), LENGTH, LENGTH + 1))
+
+
+@query(_windows_sql(LENGTH, "WHERE seq_id < 100"))
+def eval_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """An evaluation's limit: the first 100 sequences."""
+    return _sums(shards.sequences(_coded(spark, folder), LENGTH, LENGTH, 100))
 
 
 @query(f"SELECT seq_id // 16 AS batch_id, count(*) AS n, sum(sum_x)::BIGINT AS sum_x, sum(sum_y)::BIGINT AS sum_y FROM ({_windows_sql(LENGTH)}) GROUP BY 1")
 def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Contiguous batches of 16 sequences."""
-    tokens, total = _tokens(spark, folder)
-    packed = batches.contiguous_batches(_sums(shards.windows(tokens, LENGTH, LENGTH, total)), 16)
+    packed = batches.contiguous_batches(_sums(shards.sequences(_coded(spark, folder), LENGTH, LENGTH)), 16)
     return packed.groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("sum_x").alias("sum_x"), F.sum("sum_y").alias("sum_y"))
 
 
-@query()
+_DRAWN = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+@query(_sums_sql(f"SELECT row_number() OVER (ORDER BY head, k) - 1 AS seq_id, head FROM (SELECT k, {_DRAWN.format(chr(39) + chr(39) + ' || k || ' + chr(39) + '|42' + chr(39))} % (total - {LENGTH}) AS head FROM n, range(16) r(k) WHERE total > {LENGTH})"))
 def random_batches(spark: SparkSession, folder: str) -> DataFrame:
     """A batch of 16 sequences at seeded random starts."""
-    tokens, total = _tokens(spark, folder)
-    return _sums(batches.random_batch(tokens, total, LENGTH, 16, 42))
+    placed = scratch(shards.offsets(_coded(spark, folder).withColumn("n", F.size("ids").cast("bigint"))).select("start", "stop", "ids"), "placed")
+    return _sums(batches.random_batch(placed, placed.agg(F.max("stop")).first()[0] or 0, LENGTH, 16, 42))
 
 
-@query("SELECT doc_id, unnest([0, 1, 2])::INT AS epoch FROM documents")
+@query(f"SELECT doc_id, epoch, {_DRAWN.format(chr(39) + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || (epoch + 42)')} AS place FROM (SELECT doc_id, unnest([0, 1, 2])::INT AS epoch FROM documents)")
 def stream_epochs(spark: SparkSession, folder: str) -> DataFrame:
     """Three passes over the stream, each row once in each."""
-    return batches.epochs(_docs(spark, folder).select("doc_id"), "doc_id", 3, 42).select("doc_id", "epoch")
+    return batches.epochs(_docs(spark, folder).select("doc_id"), "doc_id", 3, 42)
 
 
-@query()
+@query(f"SELECT doc_id, epoch, {_DRAWN.format(chr(39) + chr(39) + ' || doc_id || ' + chr(39) + '|' + chr(39) + ' || (epoch + 42)')} AS place FROM (SELECT doc_id, unnest([0, 1])::INT AS epoch FROM documents)")
 def shuffle_deterministic(spark: SparkSession, folder: str) -> DataFrame:
     """Two epochs in their seeded orders."""
     docs = _docs(spark, folder).select("doc_id")
@@ -440,18 +470,33 @@ def token_reconcile(spark: SparkSession, folder: str) -> DataFrame:
     return resume.reconciled(_sizes(spark, folder), _shards(spark, folder))
 
 
-@query()
+@query(f"""WITH {_STREAM_CTE} SELECT printf('train_%06d.bin', pos // {SHARD}) AS file, count(*) AS num_tokens, sum(id)::BIGINT AS id_sum, sum(id * (pos % {SHARD} + 1))::BIGINT AS placed_sum, true AS whole FROM p GROUP BY ALL""")
 def bin_shard_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Token shards written as files and read again, with their sums."""
-    model = _model(spark, folder)
-    coded = scratch(bpe_encode.encode_documents(_docs(spark, folder), model, 1, 2).withColumn("n", F.size("ids").cast("bigint")), "coded")
-    parts = shards.shard_parts(shards.offsets(coded.select("doc_id", "n")), SHARD)
-    starts = shards.offsets(coded.select("doc_id", "n")).select("doc_id", "start")
-    cut = parts.join(starts, "doc_id").join(coded, "doc_id").select("shard_id", "begin", F.slice("ids", (F.col("begin") - F.col("start") + 1).cast("int"), F.col("size").cast("int")).alias("ids"))
+    """Token shards written as files, listed against their manifest, and read again in slices."""
     out = f"{urlparse(shared_dir(spark)).path}/shards-{os.urandom(8).hex()}"  # raw files need a mounted folder
-    written = write_shards(cut, out, token_dtype(len(model[0]))).agg(F.sum("num_tokens")).first()[0]
-    back = read_shards(spark, f"file://{out}", token_dtype(len(model[0]))).select("file", F.size("tokens").cast("bigint").alias("num_tokens"), F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("id_sum"))
-    return back.withColumn("all_written", F.lit(written))
+    dtype = token_dtype(len(_model(spark, folder)[0]))
+    written = write_shards(shards.cut_to_shards(scratch(_coded(spark, folder), "coded"), SHARD), out, dtype)
+    os.makedirs(out, exist_ok=True)
+    write_manifest(f"{out}/meta.json", [(f"train_{r.shard_id:06d}.bin", r.num_tokens) for r in written.collect()], dtype=dtype)
+    at = F.transform("tokens", lambda v, i: v * (F.col("begin") + i + 1))
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v))
+    back = read_shards(spark, f"file://{out}", dtype).groupBy("file").agg(F.sum(F.size("tokens")).alias("num_tokens"), total("tokens").alias("id_sum"), total(at).alias("placed_sum"))
+    listed = listed_shards(read_manifest(spark, f"{out}/meta.json"), shard_files(spark, f"file://{out}")).select("file", F.col("num_tokens").alias("said"), "whole")
+    return scratch(back.join(listed, "file").select("file", "num_tokens", "id_sum", "placed_sum", (F.col("whole") & (F.col("said") == F.col("num_tokens"))).alias("whole")), "shards")
+
+
+@query(f"WITH {_WORDS_SQL} SELECT coalesce(sum(freq), 0)::BIGINT AS words, count(*) AS unique_words, count(*) FILTER (freq >= 5) AS training_words FROM c")
+def vocabulary_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return wordcount.vocabulary_sizes(_docs(spark, folder), 5)
+
+
+@query(f"""WITH f AS (SELECT source_path, count(*) FILTER (length(text) >= {LEAST}) AS docs, count(*) FILTER (text IS NULL OR length(text) < {LEAST}) AS skipped, coalesce(sum(len({_PIECES})) FILTER (length(text) >= {LEAST}), 0)::BIGINT AS tokens FROM corpus_lines GROUP BY source_path)
+SELECT count(*) AS parts, coalesce(sum(docs), 0)::BIGINT AS docs, coalesce(sum(skipped), 0)::BIGINT AS skipped, coalesce(sum(tokens), 0)::BIGINT AS tokens, count(*) FILTER (source_path LIKE '%1.json') AS reused FROM f""")
+def part_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums over the parts of a run, one for a file."""
+    good = F.coalesce(F.length("text") >= LEAST, F.lit(False))
+    by = table(spark, folder, "corpus_lines").groupBy("source_path").agg(F.count_if(good).alias("docs"), F.count_if(~good).alias("skipped"), F.sum(F.when(good, F.size(pieces(F.col("text"))))).alias("tokens"))
+    return resume.part_totals(by.withColumn("reused", F.col("source_path").like("%1.json")))
 
 
 # --- formulas -------------------------------------------------------------------------------------------
@@ -515,6 +560,34 @@ def format_progress(spark: SparkSession, folder: str) -> DataFrame:
     return by.select("event_type", metrics.duration(F.col("k") * 7).alias("elapsed"), metrics.byte_size(F.col("k") * 100).alias("size"))
 
 
+@query("""
+WITH e AS (SELECT event_type, user_id % 10 AS step, avg(value) AS v FROM events WHERE value IS NOT NULL GROUP BY ALL),
+r AS (SELECT event_type, step, round(v, 6)::DOUBLE AS loss FROM e),
+b AS (SELECT *, min(loss) OVER (PARTITION BY event_type ORDER BY step) AS best, min(loss) OVER (PARTITION BY event_type ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT event_type, step, loss, best, before IS NULL OR loss < before AS improved FROM b""")
+def running_best(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").where("value is not null").groupBy("event_type", (F.col("user_id") % 10).alias("step")).agg(F.round(F.avg("value"), 6).alias("loss"))
+    return metrics.running_best(rows, "event_type", "step", "loss")
+
+
+@query("""
+WITH e AS (SELECT event_type, count(*) AS done FROM events GROUP BY event_type), t AS (SELECT *, sum(done) OVER () AS total, done % 97 AS seconds FROM e)
+SELECT event_type, round(100.0 * done / total, 6)::DOUBLE AS pct, round(CASE WHEN seconds > 0 THEN done / seconds ELSE 0 END, 6)::DOUBLE AS rate,
+  CASE WHEN seconds > 0 THEN printf('%02d:%02d:%02d', (s // 3600)::BIGINT, (s % 3600 // 60)::BIGINT, (s % 60)::BIGINT) ELSE '--:--:--' END AS eta
+FROM (SELECT *, CASE WHEN seconds > 0 THEN floor((total - done) / (done / seconds))::BIGINT END AS s FROM t)""")
+def progress_rates(spark: SparkSession, folder: str) -> DataFrame:
+    by = table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("done"))
+    by = by.withColumn("total", F.sum("done").over(Window.partitionBy(F.lit(0)))).withColumn("seconds", F.col("done") % 97)  # a row for an event type
+    pct, rate, eta = metrics.progress(F.col("done"), F.col("total"), F.col("seconds"))
+    return by.select("event_type", F.round(pct, 6).alias("pct"), F.round(rate, 6).alias("rate"), eta.alias("eta"))
+
+
+@query("SELECT micro, length, accumulate, world, micro * length * accumulate * world AS tokens FROM (VALUES (2::BIGINT, 2048::BIGINT, 16::BIGINT, 1::BIGINT), (4, 1024, 8, 2)) t(micro, length, accumulate, world)")
+def tokens_per_iteration(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = spark.createDataFrame([(2, 2048, 16, 1), (4, 1024, 8, 2)], "micro bigint, length bigint, accumulate bigint, world bigint")
+    return sizes.withColumn("tokens", metrics.tokens_per_iteration(*(F.col(c) for c in sizes.columns)))
+
+
 # --- streaming ------------------------------------------------------------------------------------------
 
 

@@ -7,8 +7,7 @@ import json
 import os
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .tokenizer_file import write_tokenizer
 
@@ -59,9 +58,28 @@ def write_scores(folder: str, rows: Iterable[dict]) -> None:
         json.dump({"scores": rows, "best": min(rows, key=lambda r: r["val_loss"]) if rows else None}, f, ensure_ascii=False, indent=2)
 
 
-def checkpoint_meta(header: Column, sidecar: Column) -> Column:
-    """A field from a checkpoint's header, else from the record beside it."""
-    return F.coalesce(header, sidecar)
+def header_fields(path: str) -> dict[str, str]:
+    """The text fields in the header of a tensor file: eight bytes of length, then JSON with ``__metadata__``. Nothing else of
+    the file is read; a file without such a header has none."""
+    try:
+        with open(path, "rb") as f:
+            size = int.from_bytes(f.read(8), "little")
+            whole = json.loads(f.read(size)) if 0 < size <= 100_000_000 else {}
+    except (OSError, ValueError):
+        return {}
+    fields = whole.get("__metadata__") if isinstance(whole, dict) else None
+    return {k: str(v) for k, v in fields.items()} if isinstance(fields, dict) else {}
+
+
+def checkpoint_meta(path: str) -> dict[str, str]:
+    """Fields of a checkpoint: those of the record beside it (same name, ending ``.json``), over which its header wins."""
+    beside = os.path.splitext(path)[0] + ".json"
+    fields: dict[str, str] = {}
+    if os.path.exists(beside):
+        with open(beside, encoding="utf-8") as f:
+            said = json.load(f)
+        fields = {k: v if isinstance(v, str) else json.dumps(v) for k, v in said.items()} if isinstance(said, dict) else {}
+    return fields | header_fields(path)
 
 
 def folder_bytes(roots: Iterable[str]) -> int:

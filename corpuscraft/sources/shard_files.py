@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 
+SLICE = 1 << 20  # tokens of a shard in one row
+
 
 def token_dtype(vocab_size: int) -> str:
     return "uint16" if vocab_size <= 65535 else "uint32"
@@ -45,7 +49,7 @@ def write_shards(parts: DataFrame, folder: str, dtype: str) -> DataFrame:
             for shard, ids in zip(got.column(0).to_pylist(), got.column(2), strict=True):
                 if shard != current:
                     close()
-                    file = open(os.path.join(folder, f".train_{shard:06d}.{os.getpid()}"), "wb")  # noqa: SIM115
+                    file = open(os.path.join(folder, f".train_{shard:06d}.{uuid.uuid4().hex}"), "wb")  # noqa: SIM115
                     current, count = shard, 0
                 values = ids.values.to_numpy()
                 if len(values) and (values.min() < 0 or values.max() > top):
@@ -61,16 +65,21 @@ def write_shards(parts: DataFrame, folder: str, dtype: str) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, folder: str, dtype: str) -> DataFrame:
-    """``file, tokens`` (array of ids) of the shards of a folder."""
+    """``file, begin, tokens`` of the shards of a mounted folder: slices of at most ``SLICE`` tokens, each read on its own."""
     prepare(spark)
+    width, root = np.dtype(dtype).itemsize, urlparse(folder).path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            ids = [np.frombuffer(b, dtype=dtype).astype(np.int64) for b in got.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["file", "tokens"])
+            for file, begin in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+                ids = np.fromfile(os.path.join(root, file), dtype=dtype, count=SLICE, offset=begin * width).astype(np.int64)
+                tokens = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([begin]), tokens], names=["file", "begin", "tokens"])
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "train_*.bin").load(folder)
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, "file string, tokens array<bigint>")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "train_*.bin").load(folder)
+    size = F.expr(f"length div {width}")
+    slices = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(size - 1, F.lit(0)), F.lit(SLICE).cast("bigint"))).alias("begin"))
+    return slices.repartition("file", "begin").mapInArrow(run, "file string, begin bigint, tokens array<bigint>")
 
 
 def write_manifest(path: str, shards: list[tuple[str, int]], **fields: object) -> None:
@@ -84,3 +93,17 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``file, num_tokens, dtype`` rows of a manifest."""
     meta = spark.read.option("multiLine", True).json(path)
     return meta.select("dtype", F.explode("shards").alias("s")).select("s.file", "s.num_tokens", "dtype")
+
+
+def listed_shards(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """``file, num_tokens, dtype, n_bytes, whole``: what a manifest lists against the files there are (``file, n_bytes``).
+    ``whole`` tells whether a file has the bytes its tokens need; a listed file that is missing has null bytes."""
+    width = F.when(F.col("dtype") == "uint16", 2).otherwise(4)
+    both = manifest.join(files.select("file", "n_bytes"), "file", "left")
+    return both.withColumn("whole", F.coalesce(F.col("n_bytes") == F.col("num_tokens") * width, F.lit(False)))
+
+
+def shard_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, n_bytes`` of the shards of a folder; no content is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "train_*.bin").load(folder)
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"))

@@ -8,8 +8,10 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.corpus import json_text
+from ..session import scratch
 
 
 def matching(pattern: str) -> list[str]:
@@ -31,14 +33,29 @@ def candidates(pattern: str) -> list[str]:
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, line``: lines end at LF only, a trailing CR goes, bytes that are not UTF-8 become U+FFFD; gzip by ending."""
+    """``path, line`` and their order, ``block`` (where the split of the file begins) and ``place`` (grows within a split). Lines
+    end at LF only, a trailing CR goes, bytes that are not UTF-8 become U+FFFD; gzip by ending."""
     raw = spark.read.option("lineSep", "\n").text(paths)
-    return raw.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.make_valid_utf8("value"), "\r$", "").alias("line"))
+    return raw.select(
+        F.col("_metadata.file_path").alias("path"), F.regexp_replace(F.make_valid_utf8("value"), "\r$", "").alias("line"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+    )
 
 
 def documents(spark: SparkSession, paths: list[str], field: str = "text") -> DataFrame:
-    """``path, text`` of the JSON lines whose ``field`` is a string that is not empty."""
-    return lines(spark, paths).where(F.trim("line") != "").select("path", json_text(F.col("line"), field).alias("text")).where(F.length("text") > 0)
+    """``path, text, block, place`` of the JSON lines whose ``field`` is a string that is not empty."""
+    return lines(spark, paths).where(~F.col("line").rlike(r"^[ \t\r\x0b\f]*$")).select("path", json_text(F.col("line"), field).alias("text"), "block", "place").where(F.length("text") > 0)
+
+
+def numbered(docs: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Adds the number of each row in the order of files (by path) and lines: rows of a split are numbered behind those of the
+    splits before it. ``docs`` has ``path, block, place``, as ``documents`` gives them, and is written once."""
+    docs = scratch(docs, "documents")
+    order = Window.partitionBy(F.lit(0)).orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = docs.groupBy("path", "block").agg(F.count("*").alias("_n"))  # a row for a split of a file
+    base = base.select("path", "block", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("path", "block").orderBy("place"))
+    return docs.withColumn("_row", inside).join(base, ["path", "block"]).withColumn(name, F.col("_base") + F.col("_row") - 1).drop("_base", "_row", "block", "place")
 
 
 def environment(path: str) -> dict[str, str]:

@@ -68,13 +68,17 @@ def test_rollup_and_lossy(spark):
 
 
 @pytest.mark.parametrize("merges", [0, 5, 40])
-def test_training_agrees(spark, merges):
+def test_training_agrees(spark, merges, monkeypatch):
     counted = wordcount.words(docs(spark)).groupBy("word").agg(F.count("*").alias("freq")).select(F.col("word").alias("raw"), "freq")
     words = [(r.word, r.freq) for r in wordcount.word_counts(docs(spark)).collect()]
     driver = bpe_train.train_on_driver(words, merges)
     assert driver == slow_train(words, merges, 1)
     if merges <= 5:
         assert bpe_train.train_relational(counted, merges) == driver
+        assert bpe_train.train(counted, merges) == driver
+        monkeypatch.setattr(bpe_train, "KEEP", 2)
+        monkeypatch.setattr(bpe_train, "DRIVER_WORDS", 1)  # beyond the driver's bound
+        assert bpe_train.train(counted, merges) == driver
 
 
 def test_training_on_the_test_corpus(spark):
