@@ -60,14 +60,15 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
 
 def near_duplicate_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_a, doc_b``, smaller first."""
-    marked, reps, links = similar_classes(docs, docs[key], docs[text], F.lit(3), LEAST, THRESHOLD)
-    return written_out(marked, reps, links, False, "doc_a", "doc_b")
+    marked, reps, links = similar_classes(docs, docs[key], docs[text], LEAST, THRESHOLD)
+    one = F.lit(0).alias("side")
+    return written_out(marked.select("*", one), reps.select("*", F.lit(0).alias("sides")), links, False, "doc_a", "doc_b")
 
 
 def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, class_id`` (least id of its near-duplicates), ``copies`` (documents with
     the same letters), ``links`` (other classes that resemble its own directly)."""
-    marked, reps, links = similar_classes(docs, docs[key], docs[text], F.lit(3), LEAST, THRESHOLD)
+    marked, reps, links = similar_classes(docs, docs[key], docs[text], LEAST, THRESHOLD)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     found = (
         reps.join(degree, "rep", "left")

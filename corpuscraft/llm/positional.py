@@ -1,18 +1,23 @@
 """Near-duplicate search with a byte-position inverted index and count filtering.
 
-A text is reduced to a *sketch* of 192 bytes. Three hash functions each throw the
-text's letter shingles into 64 bins; the smallest hash value of a bin gives one byte
-at one fixed position. Two texts with resemblance J agree at a position with
-probability J + (1 - J) / 256. Empty bins borrow from the next full one.
-
-The inverted index lists, for a group of four positions and the bytes found there,
-the texts that have them: 48 lists a text. Texts that meet in a list share four
-positional bytes; the shared bytes are tallied per pair, and pairs that meet in fewer
-than two lists (8 positional bytes) go. The others have all 192 positions compared;
-those with fewer than ``MIN_BYTES`` equal ones go. What remains is verified exactly on
-the whole texts. At J = 0.6, the lowest resemblance that counts here, a pair is
-expected in 6.2 lists and at 115 equal positions; it is lost with a probability of
-1.5 %, at J = 0.7 of 0.01 %. Single bytes as keys would make lists of 1/256 of all texts.
+A text is reduced to a *sketch* of bytes at fixed positions. Several hash functions each
+throw the text's letter shingles into 64 bins; the smallest hash value of a bin gives one
+byte at one position. Two texts with resemblance J agree at a position with probability
+J + (1 - J) / 256. Empty bins borrow from the next full one.
+
+The inverted index lists, for a group of positions and the bytes found there, the texts that
+have them. Texts that meet in a list share the bytes of the group; the shared bytes are
+tallied per pair, and pairs that meet in fewer than two lists go. The others have all
+positions compared; those with fewer equal ones than ``Grid.least`` go. What remains is
+verified exactly on the whole texts. Single bytes as keys would make lists of 1/256 of all
+texts.
+
+Chance meetings grow with the square of the texts, so the group grows with them (``GRIDS``), and
+the positions with the group, so that a pair at J = 0.6, the lowest resemblance that counts
+here, is expected in 6 lists or more at every size: groups of four of 192 positions (48 lists,
+such a pair is lost with a probability of 1.5 %, at J = 0.7 of 0.01 %) up to four million texts,
+of six of 1,024 (160 lists, 0.4 %) up to sixty-four million, of eight of 3,072 (384 lists,
+1.1 %) beyond.
 
 Skew: texts with equal letters form one class before anything is indexed, so a group
 of copies has one set of postings. A list longer than ``BLOCK`` texts is cut into
@@ -21,6 +26,7 @@ holds more than two blocks and no pair is emitted before it passes the count fil
 """
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +37,9 @@ from ..session import prepare, scratch
 from .letters import LetterBatch, mix, rounds
 
 WIDTH = 8  # letters of a shingle
-SEEDS = (11, 23, 37)
 BINS = 64
-BANDS = 16 * len(SEEDS)
-SKETCH = BINS * len(SEEDS)
 MIN_LISTS = 2
-MIN_BYTES = 78
+
 BLOCK = 1024
 BROADCAST_IDS = 500_000  # ids of paired texts up to which they are broadcast to the scan
 EXPAND = 256  # ids in a block when the pairs of classes are written out
@@ -45,14 +48,59 @@ _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def sketches(batch: LetterBatch, width: int = WIDTH) -> np.ndarray:
-    """(texts, 192) bytes; the four bytes of a list are neighbours."""
+@dataclass(frozen=True)
+class Grid:
+    """Positions of a sketch: ``rounds`` hash functions of 64 bins each, lists for groups of ``group`` positions."""
+
+    group: int
+    rounds: int
+
+    @property
+    def lists(self) -> int:
+        return self.rounds * (BINS // self.group)
+
+    @property
+    def size(self) -> int:
+        return self.rounds * BINS
+
+    @property
+    def least(self) -> int:
+        """Equal positions a pair needs; at J = 0.6 three fifths are expected."""
+        return self.size * 13 // 32
+
+    def order(self) -> np.ndarray:
+        """Bins of a round with those of a group side by side; a group's bins lie apart, for neighbours borrow from each other."""
+        many = BINS // self.group
+        return np.concatenate([np.arange(many * self.group).reshape(self.group, many).T.ravel(), np.arange(many * self.group, BINS)])
+
+    def keys(self, marks: np.ndarray) -> np.ndarray:
+        """(texts, lists): number of the list and its bytes, as one number."""
+        many = BINS // self.group
+        parts = marks.reshape(len(marks), self.rounds, BINS)[:, :, : many * self.group].reshape(len(marks), self.lists, self.group).astype(np.int64)
+        if self.group < 7:
+            return (parts << (8 * np.arange(self.group))).sum(axis=2) | np.arange(self.lists, dtype=np.int64) << (8 * self.group)
+        whole = np.zeros(parts.shape[:2], dtype=np.uint64)
+        for k in range(self.group):
+            whole = mix(whole ^ parts[:, :, k].astype(np.uint64), k)
+        return mix(whole ^ np.arange(self.lists, dtype=np.uint64)).view(np.int64)
+
+
+#: Texts up to which a grid serves.
+GRIDS = ((4_000_000, Grid(4, 3)), (64_000_000, Grid(6, 16)), (1 << 62, Grid(8, 48)))
+
+
+def grid_for(texts: int) -> Grid:
+    return next(g for most, g in GRIDS if texts <= most)
+
+
+def sketches(batch: LetterBatch, grid: Grid, width: int = WIDTH) -> np.ndarray:
+    """(texts, positions) bytes; those of a list are neighbours."""
     values, at = batch.grams(width)
     owner = batch.owner[at].astype(np.int64)
     n = len(batch.size)
-    out = np.empty((n, len(SEEDS), BINS), dtype=np.uint8)
-    for r, seed in enumerate(SEEDS):
-        h = mix(values, seed)
+    out = np.empty((n, grid.rounds, BINS), dtype=np.uint8)
+    for r in range(grid.rounds):
+        h = mix(values, 11 + 13 * r)
         least = np.full(n * BINS, _FULL)
         np.minimum.at(least, owner * BINS + (h >> _U(58)).astype(np.int64), h)
         least = least.reshape(n, BINS)
@@ -66,7 +114,7 @@ def sketches(batch: LetterBatch, width: int = WIDTH) -> np.ndarray:
             value[row, col] = np.where(got == _FULL, _FULL, got + _U(step))
             empty[row, col] = got == _FULL
         out[:, r] = (mix(value) & _U(0xFF)).astype(np.uint8)
-    return np.ascontiguousarray(out.reshape(n, len(SEEDS), 4, BINS // 4).transpose(0, 1, 3, 2)).reshape(n, SKETCH)
+    return np.ascontiguousarray(out[:, :, grid.order()]).reshape(n, grid.size)
 
 
 def digests(batch: LetterBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -84,68 +132,62 @@ def digests(batch: LetterBatch) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def sketch_table(df: DataFrame, key: Column, text: Column, side: Column, least: int, width: int = WIDTH) -> DataFrame:
-    """``id, side, d1, d2, sketch`` of the texts with ``least`` letters or more; one scan, no exchange."""
+def sketch_table(df: DataFrame, key: Column, text: Column, least: int, grid: Grid, width: int = WIDTH) -> DataFrame:
+    """``id, d1, d2, sketch`` of the texts with ``least`` letters or more; one scan, no exchange."""
     prepare(df.sparkSession)
-    schema = "id bigint, side int, d1 bigint, d2 bigint, sketch binary"
+    schema = "id bigint, d1 bigint, d2 bigint, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            ids, sides = got.column(0).to_numpy(zero_copy_only=False), got.column(1).to_numpy(zero_copy_only=False)
-            for first, texts in rounds(got.column(2).to_pylist()):
+            ids = got.column(0).to_numpy(zero_copy_only=False)
+            for first, texts in rounds(got.column(1).to_pylist()):
                 batch = LetterBatch(texts)
                 keep = np.nonzero(batch.size >= max(least, width))[0]
                 if not keep.size:
                     continue
                 d1, d2 = digests(batch)
-                marks = sketches(batch, width)[keep]
-                packed = pa.Array.from_buffers(pa.binary(SKETCH), len(keep), [None, pa.py_buffer(marks.tobytes())]).cast(pa.binary())
+                marks = sketches(batch, grid, width)[keep]
+                packed = pa.Array.from_buffers(pa.binary(grid.size), len(keep), [None, pa.py_buffer(marks.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + keep]), pa.array(sides[first + keep], pa.int32()), pa.array(d1[keep]), pa.array(d2[keep]), packed],
-                    names=["id", "side", "d1", "d2", "sketch"],
+                    [pa.array(ids[first + keep]), pa.array(d1[keep]), pa.array(d2[keep]), packed],
+                    names=["id", "d1", "d2", "sketch"],
                 )
 
-    chosen = df.select(key.cast("bigint").alias("id"), side.cast("int").alias("side"), text.alias("text"))
-    return chosen.where("id is not null and side is not null and text is not null").mapInArrow(run, schema)
+    chosen = df.select(key.cast("bigint").alias("id"), text.alias("text"))
+    return chosen.where("id is not null and text is not null").mapInArrow(run, schema)
 
 
 def classes(marked: DataFrame) -> DataFrame:
-    """One row for texts with equal letters: ``d1, d2, rep`` (least id), ``sides`` (bits that occur), ``members``."""
-    return marked.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.bit_or("side").alias("sides"), F.count("*").alias("members"), F.first("sketch").alias("sketch"))
+    """One row for texts with equal letters: ``d1, d2, rep`` (least id), ``members``, ``sketch``."""
+    return marked.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.first("sketch").alias("sketch"))
 
 
-def postings(reps: DataFrame) -> DataFrame:
-    """``list`` (number of the position group and its four bytes), ``rep``, ``sides``: 48 rows a class."""
+def _marks(column: pa.Array, grid: Grid) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, grid.size)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = np.arange(BANDS, dtype=np.int64) << 32
-        for got in batches:
-            if not got.num_rows:
-                continue
-            marks = np.frombuffer(b"".join(got.column(2).to_pylist()), dtype=np.uint32).reshape(-1, BANDS)
-            keys = (marks.astype(np.int64) | group).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.repeat(got.column(0).to_numpy(), BANDS)), pa.array(np.repeat(got.column(1).to_numpy(), BANDS))], names=["list", "rep", "sides"]
-            )
 
-    return reps.select("rep", "sides", "sketch").mapInArrow(run, "list bigint, rep bigint, sides int")
+def postings(reps: DataFrame, grid: Grid) -> DataFrame:
+    """``list`` (number of the position group and its bytes), ``rep``: a row for each list of a class."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            if got.num_rows:
+                keys = grid.keys(_marks(got.column(1), grid)).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(got.column(0).to_numpy(), grid.lists))], names=["list", "rep"])
 
-def _may_meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sides are bits: 1 and 2; a pair counts if one member can stand on side 1 and the other on side 2."""
-    return (((a & 1) != 0) & ((b & 2) != 0)) | (((a & 2) != 0) & ((b & 1) != 0))
+    return reps.select("rep", "sketch").mapInArrow(run, "list bigint, rep bigint")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of equal ``list`` in sorted rows. Short runs give pairs (``block`` is null); rows of long ones come out as (list, rep, block)."""
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     seen = 0  # rows of the held run that have been put out as blocks
 
     def out(a: np.ndarray, b: np.ndarray, block: np.ndarray | None) -> pa.RecordBatch:
         blocks = pa.nulls(len(a), pa.int32()) if block is None else pa.array(block.astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), blocks], names=["a", "b", "block"])
 
-    def work(k: np.ndarray, rep: np.ndarray, side: np.ndarray, before: int) -> Iterator[pa.RecordBatch]:
+    def work(k: np.ndarray, rep: np.ndarray, before: int) -> Iterator[pa.RecordBatch]:
         start = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
         size = np.diff(np.concatenate([start, [len(k)]]))
         long = size > BLOCK
@@ -158,8 +200,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in range(0, len(runs), max(1, 2_000_000 // len(i))):
                 p = (runs[part : part + max(1, 2_000_000 // len(i)), None] + i).ravel()
                 q = (runs[part : part + max(1, 2_000_000 // len(i)), None] + j).ravel()
-                ok = _may_meet(side[p], side[q])
-                a, b = rep[p[ok]], rep[q[ok]]
+                a, b = rep[p], rep[q]
                 yield out(np.minimum(a, b), np.maximum(a, b), None)
         for r in np.nonzero(long)[0]:
             s = slice(start[r], start[r] + size[r])
@@ -188,7 +229,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(*held, seen)
 
 
-def _block_pairs(hot: DataFrame, reps: DataFrame) -> DataFrame:
+def _block_pairs(hot: DataFrame, reps: DataFrame, grid: Grid) -> DataFrame:
     """Pairs from long lists: every pair of blocks is one group of two blocks at most, compared by sketch."""
     hot = hot.select(F.col("a").alias("list"), F.col("b").alias("rep"), "block").distinct()
     top = hot.groupBy("list").agg(F.max("block").alias("top"))
@@ -196,19 +237,19 @@ def _block_pairs(hot: DataFrame, reps: DataFrame) -> DataFrame:
         hot.join(top, "list")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top"))))
         .select("list", "rep", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-        .join(reps.select("rep", "sides", "sketch"), "rep")
+        .join(reps.select("rep", "sketch"), "rep")
     )
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         x, y = key[1].as_py(), key[2].as_py()
         block = group.column("block").to_numpy()
-        rep, side = group.column("rep").to_numpy(), group.column("sides").to_numpy()
-        marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+        rep = group.column("rep").to_numpy()
+        marks = _marks(group.column("sketch"), grid)
         left, right = np.nonzero(block == x)[0], np.nonzero(block == y)[0]
         found = [np.zeros((2, 0), np.int64)]
         for i in left:
             same = (marks[right] == marks[i]).sum(axis=1)
-            ok = right[(same >= MIN_BYTES) & _may_meet(side[i], side[right]) & (rep[right] != rep[i])]
+            ok = right[(same >= grid.least) & (rep[right] != rep[i])]
             if x == y:
                 ok = ok[rep[ok] > rep[i]]
             found.append(np.stack([np.minimum(rep[ok], rep[i]), np.maximum(rep[ok], rep[i])]))
@@ -218,9 +259,9 @@ def _block_pairs(hot: DataFrame, reps: DataFrame) -> DataFrame:
     return spread.groupBy("list", "x", "y").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, grid: Grid) -> DataFrame:
     """Pairs of classes (``a < b``) that share enough positional bytes."""
-    lists = postings(reps).repartition("list").sortWithinPartitions("list")
+    lists = postings(reps, grid).repartition("list").sortWithinPartitions("list")
     met = scratch(lists.mapInArrow(_meetings, "a bigint, b bigint, block int"), "meetings")
     tallied = met.where("block is null").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_LISTS).select("a", "b")
     s = reps.select(F.col("rep"), "sketch")
@@ -229,13 +270,12 @@ def candidates(reps: DataFrame) -> DataFrame:
         for got in batches:
             if not got.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(got.column(c).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for c in (2, 3))
-            ok = (one == two).sum(axis=1) >= MIN_BYTES
+            ok = (_marks(got.column(2), grid) == _marks(got.column(3), grid)).sum(axis=1) >= grid.least
             yield pa.RecordBatch.from_arrays([pa.array(got.column(c).to_numpy()[ok]) for c in (0, 1)], names=["a", "b"])
 
     pairs = tallied.join(s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     pairs = pairs.select("a", "b", "sa", "sb").mapInArrow(agree, "a bigint, b bigint")
-    return pairs.union(_block_pairs(met.where("block is not null"), reps)).distinct()
+    return pairs.union(_block_pairs(met.where("block is not null"), reps, grid)).distinct()
 
 
 def overlap(one: list[str], two: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,10 +323,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, width: int =
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, n_both bigint")
 
 
-def similar_classes(df: DataFrame, key: Column, text: Column, side: Column, least: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The whole join: ``marked`` rows (id, side, d1, d2), ``reps`` and verified ``links`` between classes."""
-    marked = scratch(sketch_table(df, key, text, side, least), "sketches")
+def similar_classes(df: DataFrame, key: Column, text: Column, least: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole join: ``marked`` rows (id, d1, d2), ``reps`` and verified ``links`` between classes."""
+    grid = grid_for(df.count())
+    marked = scratch(sketch_table(df, key, text, least, grid), "sketches")
     reps = scratch(classes(marked), "classes")
     texts = df.select(key.cast("bigint").alias("id"), text.alias("text"))
-    links = scratch(verified(candidates(reps), texts, threshold), "links")
-    return marked.select("id", "side", "d1", "d2").distinct(), reps, links
+    links = scratch(verified(candidates(reps, grid), texts, threshold), "links")
+    return marked.select("id", "d1", "d2").distinct(), reps, links
