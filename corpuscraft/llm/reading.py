@@ -9,6 +9,13 @@ whose vocabulary scores come from the other folds, and its predictions are calib
 isotonic regression on held-out folds. Folds are sets of sources, so the
 cross-validation tells how the level holds on sources never seen.
 
+Sampled texts, however long, stay on the executors. What reaches the driver is of fixed
+size: the counts and sums of the vocabulary table by fold (``FOLDS`` x 2**17 slots) and the
+features of ``SAMPLE_DOCS`` documents.
+
+The cross-validation is nested: for the documents of one fold, the vocabulary scores, the
+trees and the calibration are all made without any label of that fold.
+
 Defined results: texts under ``LEAST`` letters, null and empty ones have no level; rows with
 a null id are left out; without labels no document has a level.
 """
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare, table
+from ..session import prepare, scratch, table
 from .boosting import Boosted, Isotonic
 from .letters import LetterBatch, distinct, mix, rounds
 
@@ -58,13 +65,15 @@ def _stretches(batch: LetterBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return np.concatenate(slots), np.concatenate(owners), np.concatenate(places), chinese
 
 
-def vocabulary_scores(slots: np.ndarray, owner: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Mean of level - 3 over the documents that hold a stretch, shrunken to 0 by two documents."""
-    pair = distinct(owner * _SLOTS + slots)
-    own, slot = np.divmod(pair, _SLOTS)
-    count = np.bincount(slot, minlength=_SLOTS)
-    total = np.bincount(slot, level[own] - 3.0, minlength=_SLOTS)
-    return total / (count + 2.0)
+class Vocabulary:
+    """Documents that hold a stretch and the sum of their level - 3, per fold; scores are means shrunken to 0 by two documents."""
+
+    def __init__(self, count: np.ndarray, total: np.ndarray) -> None:
+        self.count, self.total = count, total
+
+    def scores(self, *without: int) -> np.ndarray:
+        rest = [k for k in range(FOLDS) if k not in without]
+        return self.total[rest].sum(axis=0) / (self.count[rest].sum(axis=0) + 2.0)
 
 
 def features(texts: list[str | None], scores: np.ndarray | list[np.ndarray], batch: LetterBatch | None = None, fold: np.ndarray | None = None) -> np.ndarray:
@@ -120,55 +129,122 @@ class HeldOut:
         x = features(texts, self.scores, batch, fold)
         out = np.zeros(len(texts))
         for k in np.unique(fold):
-            out[fold == k] = self.calibrated[k](self.trees[k].predict(x[fold == k]))
+            k = int(k) if int(k) in self.trees else min(self.trees)
+            mine = fold == k
+            out[mine] = self.calibrated[k](self.trees[k].predict(x[mine]))
         return out
 
 
+def _apart(fold: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of fold ``k`` and the others; with one fold alone the others are all rows."""
+    mine = fold == k
+    return mine, ~mine if (~mine).any() else mine
+
+
 class Level:
     """A fitted model with its held-out predictions (``held``), labels and folds."""
 
-    def __init__(self, texts: list[str], level: np.ndarray, source: list[str]) -> None:
-        batch = LetterBatch(texts)
-        names = sorted(set(source))
-        self.source, self.level = np.array(source, dtype=object), level
-        self.fold = np.array([names.index(s) % FOLDS for s in source], dtype=np.int64)
-        slot, owner, _, _ = _stretches(batch)
-        apart = [vocabulary_scores(slot[self.fold[owner] != k], owner[self.fold[owner] != k], level) for k in range(FOLDS)]
-        x = features(list(texts), apart, batch, self.fold)
-        self.held = np.zeros(len(texts))
-        trees = {}
-        for k in range(FOLDS):
-            mine = self.fold == k
-            if mine.any():
-                trees[k] = Boosted().fit(x[~mine], level[~mine]) if (~mine).any() else Boosted().fit(x, level)
-                self.held[mine] = trees[k].predict(x[mine])
-        others = {k: self.fold != k if (self.fold != k).any() else self.fold == k for k in trees}
-        self.cross = HeldOut({s: k % FOLDS for k, s in enumerate(names)}, apart, trees, {k: Isotonic(self.held[o], level[o]) for k, o in others.items()})
+    def __init__(self, x: np.ndarray, level: np.ndarray, fold: np.ndarray, vocabulary: Vocabulary) -> None:
+        self.level, self.fold = level, fold
+        self.held = np.zeros(len(level))
+        for k in np.unique(fold):
+            mine, others = _apart(fold, k)
+            self.held[mine] = Boosted().fit(x[others], level[others]).predict(x[mine])
         self.calibrated = Isotonic(self.held, level)
-        self.scores = vocabulary_scores(slot, owner, level).astype(np.float32)
+        self.scores = vocabulary.scores().astype(np.float32)
         self.trees = Boosted().fit(x, level)
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "cross"}  # what predicts is broadcast, not the models of the folds
-
     def __call__(self, texts: list[str | None], batch: LetterBatch) -> np.ndarray:
         return self.calibrated(self.trees.predict(features(texts, self.scores, batch)))
 
 
+def nested(x: list[np.ndarray], level: np.ndarray, fold: np.ndarray, folds: dict[str, int], vocabulary: Vocabulary) -> HeldOut:
+    """For each fold k what is made without it: ``x[k]`` has features whose scores leave out k besides a document's own fold."""
+    trees, calibrated = {}, {}
+    for k in np.unique(fold).tolist():
+        _, others = _apart(fold, k)
+        x_k, y_k, f_k = x[k][others], level[others], fold[others]
+        trees[k] = Boosted().fit(x_k, y_k)
+        inner = np.zeros(len(y_k))
+        for j in np.unique(f_k):
+            mine, rest = _apart(f_k, j)
+            inner[mine] = Boosted().fit(x_k[rest], y_k[rest]).predict(x_k[mine])
+        calibrated[k] = Isotonic(inner, y_k)
+    return HeldOut(folds, [vocabulary.scores(k) for k in range(FOLDS)], trees, calibrated)
+
+
 def labelled(labels: DataFrame) -> DataFrame:
     """``doc_id, level``: the median of a document's raters."""
     return labels.where("reading_level is not null and doc_id is not null").select("doc_id", "rater", "reading_level").distinct().groupBy("doc_id").agg(F.median("reading_level").alias("level"))
 
 
+class Sample:
+    """The labelled documents that a model is fitted on: their folds, levels and vocabulary; features are made where the texts are."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, most: int) -> None:
+        prepare(docs.sparkSession)
+        chosen = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        texts = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source")).where((F.length("text") >= LEAST))
+        found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "source", "level")).alias("r"))
+        self.rows = scratch(found.select("doc_id", "r.text", "r.source", F.col("r.level").cast("double").alias("level")), "sample")
+        names = sorted(r.source for r in self.rows.select("source").distinct().collect())  # at most one a document of the sample
+        self.folds = {s: k % FOLDS for k, s in enumerate(names)}
+        self.vocabulary = self._vocabulary() if names else None
+
+    def _vocabulary(self) -> Vocabulary:
+        folds = self.folds
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for got in batches:
+                fold = np.array([folds[s] for s in got.column(1).to_pylist()], dtype=np.int64)
+                level = got.column(2).to_numpy()
+                for first, part in rounds(got.column(0).to_pylist()):
+                    slot, owner, _, _ = _stretches(LetterBatch(part))
+                    own, slot = np.divmod(distinct(owner * _SLOTS + slot), _SLOTS)
+                    key, where = np.unique(fold[first + own] * _SLOTS + slot, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(where)), pa.array(np.bincount(where, level[first + own] - 3.0))], names=["key", "n", "total"])
+
+        sums = self.rows.select("text", "source", "level").mapInArrow(run, "key bigint, n bigint, total double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        got = sums.toArrow()  # at most FOLDS * 2**17 rows
+        count, total = np.zeros(FOLDS * _SLOTS), np.zeros(FOLDS * _SLOTS)
+        key = got.column("key").to_numpy()
+        count[key], total[key] = got.column("n").to_numpy(), got.column("total").to_numpy()
+        return Vocabulary(count.reshape(FOLDS, -1), total.reshape(FOLDS, -1))
+
+    def features(self, *without: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, levels and folds of the documents, by id; scores leave out a document's own fold and those given."""
+        folds = self.folds
+        shared = self.rows.sparkSession.sparkContext.broadcast([self.vocabulary.scores(j, *without) for j in range(FOLDS)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for got in batches:
+                fold = np.array([folds[s] for s in got.column(2).to_pylist()], dtype=np.int64)
+                for first, part in rounds(got.column(1).to_pylist()):
+                    s = slice(first, first + len(part))
+                    x = features(part, shared.value, None, fold[s])
+                    ends = np.arange(len(part) + 1) * len(FEATURES)
+                    yield pa.RecordBatch.from_arrays(
+                        [got.column(0)[s], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.ravel())), got.column(3)[s], pa.array(fold[s])], names=["doc_id", "x", "level", "fold"]
+                    )
+
+        rows = self.rows.select("doc_id", "text", "source", "level").mapInArrow(run, "doc_id bigint, x array<double>, level double, fold bigint").toArrow().sort_by("doc_id")
+        x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+        return x, rows.column("level").to_numpy(), rows.column("fold").to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Level | None:
     """A model from at most ``most`` labelled documents, chosen by hash of their id; None where none is labelled."""
-    chosen = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text", "source").where("text is not null")
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "source", "level").orderBy("doc_id").limit(2 * most).collect()
-    rows = [r for r in rows if len(r.text) >= LEAST]
-    if not rows:
+    sample = Sample(docs, labels, most)
+    return Level(*sample.features(), sample.vocabulary) if sample.vocabulary else None
+
+
+def held_out(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> HeldOut | None:
+    """For each fold of sources a model of the same sample without that fold; None where no document is labelled."""
+    sample = Sample(docs, labels, most)
+    if not sample.vocabulary:
         return None
-    return Level([r.text for r in rows], np.array([float(r.level) for r in rows]), [r.source or "" for r in rows])
+    by = [sample.features(k) for k in range(FOLDS)]
+    return nested([x for x, _, _ in by], by[0][1], by[0][2], sample.folds, sample.vocabulary)
 
 
 def reading_levels(docs: DataFrame, model: Level | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -208,12 +284,12 @@ def p10_levels(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", "source", "content_domain").join(levels, "doc_id").groupBy("source", "content_domain").agg(F.count("*").alias("documents"), F.round(F.avg("level"), 4).alias("level"))
 
 
-def validation(docs: DataFrame, labels: DataFrame, model: Level) -> DataFrame:
+def validation(docs: DataFrame, labels: DataFrame, model: HeldOut) -> DataFrame:
     """``source, documents, rmse`` over all labelled documents with ``LEAST`` letters or more, each scored by the model and
     calibration of the folds that do not hold its source."""
     spark = docs.sparkSession
     prepare(spark)
-    shared = spark.sparkContext.broadcast(model.cross)
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
@@ -231,7 +307,8 @@ def validation(docs: DataFrame, labels: DataFrame, model: Level) -> DataFrame:
 
 def p10_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Cross-validation by source: labelled documents and the root mean squared error of calibrated held-out predictions."""
-    model = _fit(spark, folder)
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "reading_labels")
+    model = held_out(docs, labels)
     if model is None:
         return spark.createDataFrame([], "source string, documents bigint, rmse double")
-    return validation(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), model)
+    return validation(docs, labels, model)
