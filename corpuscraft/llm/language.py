@@ -267,7 +267,8 @@ def sample_trees(docs: DataFrame, codes: DataFrame, text: str = "text", label: s
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("language")] * (1 << 20)
     samples: dict[str, list[str]] = {k: [] for k in sizes}
-    for r in rows.where(draw).limit(4 * most * len(sizes)).collect():
+    drawn = rows.where(draw).dropDuplicates(["text", "language"])  # copies of a text count once
+    for r in drawn.orderBy(F.xxhash64("text"), "language").limit(4 * most * len(sizes)).collect():
         if len(samples[r["language"]]) < 2 * most and _usable(r["text"]):
             samples[r["language"]].append(r["text"])
     for k in samples:
