@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import scratch
+from ..session import discard, scratch
 
 RANGE_ROWS = 1_000_000  # rows of a range when running totals are taken
 
@@ -61,7 +61,8 @@ def ordinal(rows: DataFrame, order: str, name: str, count: Column | None = None,
     cut = scratch(rows.withColumn("_value", value.cast("bigint")), "ordered")
     ranges = max(1, -(-cut.count() // RANGE_ROWS))
     if ranges > 1:
-        cut = scratch(cut.repartitionByRange(ranges, order).withColumn("_bucket", F.spark_partition_id()), "ranges")
+        whole, cut = cut, scratch(cut.repartitionByRange(ranges, order).withColumn("_bucket", F.spark_partition_id()), "ranges")
+        discard(whole)
     else:
         cut = cut.withColumn("_bucket", F.lit(0))
     inside = Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

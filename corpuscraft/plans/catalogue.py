@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import metrics
 from ..functions.text import BYTE_ALPHABET, WHITE_RANGES, byte_level, byte_level_inverse, gpt2_pieces, pieces
 from ..operators import batches, bpe_encode, bpe_train, corpus, resume, shards, wordcount
-from ..session import scratch, shared_dir, table
+from ..session import scratch, scratch_folder, table
 from ..sources.shard_files import listed_shards, read_manifest, read_shards, shard_files, token_dtype, write_manifest, write_shards
 from ..sources.tokenizer_file import special_tokens
 from ..streaming import counts as streaming
@@ -473,7 +473,7 @@ def token_reconcile(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {_STREAM_CTE} SELECT printf('train_%06d.bin', pos // {SHARD}) AS file, count(*) AS num_tokens, sum(id)::BIGINT AS id_sum, sum(id * (pos % {SHARD} + 1))::BIGINT AS placed_sum, true AS whole FROM p GROUP BY ALL""")
 def bin_shard_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Token shards written as files, listed against their manifest, and read again in slices."""
-    out = f"{urlparse(shared_dir(spark)).path}/shards-{os.urandom(8).hex()}"  # raw files need a mounted folder
+    out = urlparse(scratch_folder(spark, "shards")).path  # raw files need a mounted folder
     dtype = token_dtype(len(_model(spark, folder)[0]))
     written = write_shards(shards.cut_to_shards(scratch(_coded(spark, folder), "coded"), SHARD), out, dtype)
     os.makedirs(out, exist_ok=True)
@@ -594,13 +594,13 @@ def tokens_per_iteration(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_WORDS_SQL} SELECT raw AS word, freq FROM c")
 def stream_word_count(spark: SparkSession, folder: str) -> DataFrame:
     """Micro-batches append partial counts; their sum is the batch answer."""
-    base = f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
+    base = scratch_folder(spark, "stream")
     streaming.incremental_counts(streaming.stream_documents(spark, folder, "documents"), f"{base}/out", f"{base}/state")
     return streaming.merged_counts(spark, f"{base}/out")
 
 
 @query(_stats_sql("lang", "documents", LEAST, MOST))
 def stream_stats_streamed(spark: SparkSession, folder: str) -> DataFrame:
-    base = f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
+    base = scratch_folder(spark, "stream")
     stream = streaming.stream_documents(spark, folder, "documents").select("lang", "text")
     return streaming.streamed_stats(stream, "lang", LEAST, MOST, f"stats_{os.urandom(4).hex()}", base)

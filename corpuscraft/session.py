@@ -11,7 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: list[tuple[object, str]] = []
+_SCRATCH: list[tuple[object, object]] = []
+_TABLES: weakref.WeakKeyDictionary[DataFrame, tuple[object, object]] = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,19 +38,41 @@ def _remove(jvm_path: object, fs: object) -> None:
         pass
 
 
+def _kept(spark: SparkSession, path: str) -> tuple[object, object]:
+    """Notes a path for removal when the interpreter ends."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entry = (jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration()))
+    _SCRATCH.append(entry)
+    return entry
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as a table in the shared folder and reads it back, which cuts its lineage.
 
     A lost executor costs no more than the tasks it ran, for the table outlives it. The
-    files go when the interpreter ends.
+    files go when the interpreter ends, or by ``discard``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    _SCRATCH.append((jpath, fs))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _TABLES[back] = _SCRATCH[-1]
+    return back
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for files that go when the interpreter ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _kept(spark, path)
+    return path
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table that ``scratch`` gave, once nothing reads it any more."""
+    entry = _TABLES.pop(df, None)
+    if entry in _SCRATCH:
+        _SCRATCH.remove(entry)
+        _remove(*entry)
 
 
 @atexit.register
