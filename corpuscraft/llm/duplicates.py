@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch, table
+from ..session import discard, scratch, table
 from .pairing import blocks, pairs
 from .positional import EXPAND, similar_classes
 
@@ -46,11 +46,14 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     """
     edges = scratch(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct(), "edges")
     label = scratch(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select(F.col("u").alias("id"), "c"), "labels")
+    held = label
     for _ in range(most):
         near = edges.join(label.select(F.col("id").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
         best = label.join(near, label.id == near.u).select("id", "c", F.least("c", "m").alias("n"))
         hop = label.select(F.col("id").alias("n"), F.col("c").alias("h"))
         new = scratch(best.join(hop, "n", "left").select("id", "c", F.least("n", F.coalesce("h", "n")).alias("n")), "labels")
+        discard(held)
+        held = new
         changed = new.where("n <> c").limit(1).count()
         label = new.select("id", F.col("n").alias("c"))
         if not changed:
